@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: list[str] = []
 
@@ -33,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(schema: T.StructType, **kinds: T.DataType | str) -> T.StructType:
+    """schema and further columns (StructType.add would change the DataFrame's own)."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out.add(name, kind)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
