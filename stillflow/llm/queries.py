@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stillflow.llm import toxicity
+from stillflow.llm import toxicity, url_filter
 from stillflow.llm.common import held_out, table
 from stillflow.llm.mixing import mix
 from stillflow.llm.near_dup import near_duplicates
@@ -32,6 +32,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.train(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
