@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stillflow.llm import toxicity, url_filter
 from stillflow.llm.common import held_out, table
+from stillflow.llm.html_text import extract
 from stillflow.llm.mixing import mix
 from stillflow.llm.near_dup import near_duplicates
 from stillflow.llm.packing import pack_documents
@@ -32,6 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
