@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stillflow.llm import toxicity, url_filter
 from stillflow.llm.common import held_out, table
+from stillflow.llm.fingerprints import fingerprints
 from stillflow.llm.html_text import extract
 from stillflow.llm.mixing import mix
 from stillflow.llm.near_dup import near_duplicates
@@ -28,6 +29,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
