@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillflow.llm.common import widened, written
@@ -103,17 +103,29 @@ def mix_sized(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs for each pass over it, in the order of virtual finish times, texts cut where the budget ends."""
+    """The mix itself: a row of docs for each pass over it, in the order of virtual finish times, texts cut where the budget ends.
+
+    Queues are run on sizes alone; texts join them by doc_id, source, size and a number among rows that are equal in these.
+    """
     columns = docs.columns
-    done = mix(docs, **options)
-    passes = done.withColumn("_pass", F.explode(F.when(F.col("taken") > F.col("size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    words = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")).alias("_words")
+    key = ["_id", "_source", "_size"]
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    named = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.to_json(F.struct(F.col("source"))).alias("_source"), size.alias("_size"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    done = mix_sized(slim, **options).select(
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.to_json(F.struct("source")).alias("_source"), F.col("size").alias("_size"), "taken", "source_size", "target", "finish"
+    )
+    served = done.withColumn("_number", F.row_number().over(Window.partitionBy(*key).orderBy("taken", "finish")))
+    numbered = named.withColumn("_number", F.row_number().over(Window.partitionBy(*key).orderBy("_row.text")))
+    both = numbered.join(served, [*key, "_number"])
+    passes = both.withColumn("_pass", F.explode(F.when(F.col("taken") > F.col("_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    words = F.least(F.col("_size"), F.col("taken") - F.col("_pass") * F.col("_size")).alias("_words")
     at = F.coalesce(F.col("finish"), F.lit(0.0)) + F.col("_pass") * F.coalesce(F.col("source_size") / F.col("target"), F.lit(0.0))
     # A document without words costs nothing and stays.
-    rows = passes.select(*columns, "size", words, at.alias("_finish")).filter("_words > 0 or size = 0")
-    cut = rows.select(*[F.col(c) for c in columns], "_finish", "_words", "size").mapInArrow(_cut, rows.select(*columns, "_finish").schema)
-    ordered = cut.repartitionByRange(_partitions(docs), "_finish", "doc_id").sortWithinPartitions("_finish", "doc_id")
-    return ordered.drop("_finish")
+    rows = passes.select("_row", "_size", words, at.alias("_finish"), "_id").filter("_words > 0 or _size = 0")
+    ordered = rows.repartitionByRange(_partitions(docs), "_finish", "_id").sortWithinPartitions("_finish", "_id")
+    flat = ordered.select(*[F.col("_row")[c].alias(c) for c in columns], "_words", "_size")
+    return flat.mapInArrow(_cut, docs.schema)
 
 
 def _cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +133,9 @@ def _cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in rows:
         names = batch.schema.names
-        part = np.flatnonzero((batch.column("_words").to_numpy() < batch.column("size").to_numpy()))
-        columns = [batch.column(i) for i, n in enumerate(names) if n not in ("_words", "size")]
-        kept = [n for n in names if n not in ("_words", "size")]
+        part = np.flatnonzero(batch.column("_words").to_numpy() < batch.column("_size").to_numpy())
+        columns = [batch.column(i) for i, n in enumerate(names) if n not in ("_words", "_size")]
+        kept = [n for n in names if n not in ("_words", "_size")]
         if len(part):
             text, want = batch.column("text").to_pylist(), batch.column("_words").to_numpy()
             for i in part:
