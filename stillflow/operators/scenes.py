@@ -77,9 +77,9 @@ def merge_segments(segments: DataFrame, fps: float) -> DataFrame:
 
     A segment that does not end after it begins is an error.
     """
-    checked = segments.withColumn("_fine", F.assert_true(F.col("to_t") > F.col("from_t"), F.lit("a segment must end after it begins")))
+    fine = F.when(F.col("to_t") > F.col("from_t"), F.col("from_t")).otherwise(F.raise_error(F.lit("a segment must end after it begins")).cast("double"))
     # Half to even, as the numbers of both ends are rounded.
-    ranges = checked.select("video_id", F.bround(F.col("from_t") * fps).cast("int").alias("start"), (F.bround(F.col("to_t") * fps).cast("int") + 1).alias("stop"), "_fine").drop("_fine")
+    ranges = segments.select("video_id", F.bround(fine * fps).cast("int").alias("start"), (F.bround(F.col("to_t") * fps).cast("int") + 1).alias("stop"))
     order = Window.partitionBy("video_id").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
