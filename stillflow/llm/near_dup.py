@@ -6,8 +6,9 @@ confirm what the estimate leaves. Components are found over confirmed links.
 
 Hot buckets: a bucket (a band's value) may hold thousands of near copies. Links of a bucket are first sought with its
 best-connected member alone, so such a group costs one pair a member. Only pairs that are still in different
-components after that are compared with each other, in blocks of bounded size and by bit counts; pairs that pass are
-confirmed on full sets. No pair is dropped for the size of its bucket.
+components after that are compared with each other: in blocks of bounded size, by bit counts first and by full sets
+after, in the same place, so that only links that join components leave a block. No pair is dropped for the size of its
+bucket.
 
 Defined cases. A null or word-less text has n_shingles 0 and its own component. Rows that repeat a doc_id are one
 document and link their texts. A row with a null doc_id takes part in links but never names a component; where none of
@@ -34,6 +35,8 @@ B_BITS = 8
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
+#: And shingles of such members, at most (but for a single member with more).
+BLOCK_SHINGLES = 1 << 18
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _SIGNATURE = "doc_id long, id long, n_shingles long, bands array<long>, bits binary"
@@ -119,17 +122,21 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_sets, "id long, shingles array<long>")
 
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, shingles of wanted nodes (id), from the texts of the documents that stand for them."""
+    rows = nodes.join(wanted, "id", "left_semi").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(rows, texts.doc_id.eqNullSafe(rows.doc_id), "left_semi").select("text")
+    return written(shingle_sets(texts), "near-sets").dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold (hundredths). nodes: id, n_shingles, bits, doc_id of each class."""
     sized = nodes.select("id", "n_shingles", "bits")
     sides = pairs.join(sized.toDF("a", "n_a", "bits_a"), "a").join(sized.toDF("b", "n_b", "bits_b"), "b")
     sides = sides.filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     near = written(sides.select("a", "b", "bits_a", "bits_b").mapInArrow(_promising, "a long, b long"), "near-promising")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = nodes.join(wanted, "id", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(rows, texts.doc_id.eqNullSafe(rows.doc_id), "left_semi").select("text")
-    sets = written(shingle_sets(texts), "near-sets").dropDuplicates(["id"])
+    sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, docs)
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(100 * common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
@@ -151,38 +158,94 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _block_pairs(threshold: int):
+def _fits(a: dict, b: dict, i: int, threshold: int) -> np.ndarray:
+    """Which rows of b may link row i of a to another component, by size and estimate."""
+    fits = (b["label"] != a["label"][i]) & (100 * np.minimum(b["n"], a["n"][i]) >= threshold * np.maximum(b["n"], a["n"][i]))
+    at = np.flatnonzero(fits)
+    return at[estimate(b["bits"][at], a["bits"][i]) >= LEAST_ESTIMATE]
+
+
+def _block_candidates(threshold: int):
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """Candidates of one pair of blocks of a bucket, across components, of fitting sizes and a sufficient estimate."""
-        left, right = (rows.filter(pa.compute.equal(rows.column("side"), s)) for s in (0, 1))
-        same = key[1].as_py() == key[2].as_py()
-        right = left if same else right
-        a, b = (np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS) for t in (left, right))
-        ids, labels, sizes = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "label", "n_shingles"))
-        out: list[np.ndarray] = []
-        for i in range(len(a)):
-            fits = (labels[1] != labels[0][i]) & (100 * np.minimum(sizes[1], sizes[0][i]) >= threshold * np.maximum(sizes[1], sizes[0][i]))
-            if same:
-                fits[: i + 1] = False
-            at = np.flatnonzero(fits)
-            at = at[estimate(b[at], a[i]) >= LEAST_ESTIMATE]
-            out.append(np.column_stack([np.full(len(at), ids[0][i]), ids[1][at]]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found.min(1) if len(found) else found[:, 0], pa.int64()), "b": pa.array(found.max(1) if len(found) else found[:, 0], pa.int64())})
+        """The members of one pair of a bucket's blocks that have a candidate in it which no earlier band has."""
+        sides = []
+        for side in (0, 1):
+            t = rows.filter(pa.compute.equal(rows.column("side"), side))
+            sides.append(
+                {c: t.column(c).to_numpy() for c in ("id", "label", "n")}
+                | {"bits": np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS), "bands": np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)}
+            )
+        a, b = (sides[0], sides[0]) if key[1].as_py() == key[2].as_py() else sides
+        found: set[int] = set()
+        for i in range(len(a["id"])):
+            at = _fits(a, b, i, threshold)
+            same = b["bands"][at] == a["bands"][i]
+            at = at[b["bands"][at, same.argmax(1)] == key[0].as_py()] if len(at) else at
+            if len(at):
+                found.add(int(a["id"][i]))
+                found.update(b["id"][at].tolist())
+        ids = pa.array(sorted(found), pa.int64())
+        return pa.table({"key": pa.array([key[0].as_py()] * len(ids), pa.int64()), "x": pa.array([key[1].as_py()] * len(ids), pa.int32()), "y": pa.array([key[2].as_py()] * len(ids), pa.int32()), "id": ids})
 
     return compare
 
 
-def rest_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs across components within each bucket (members: key, id, label, n_shingles, bits), block by block."""
-    # A member's block is a hash of its id, as many blocks as keep a block near BLOCK members.
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = members.join(sizes.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from products of incidence matrices over elements that sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((count > 1).sum()), width):
+        lo, hi = np.searchsorted(at, [low, low + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[lo:hi], at[lo:hi] - low] = 1
+        out += part @ part.T
+    return out.round().astype(np.int64)
+
+
+def _block_links(threshold: int):
+    def link(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """Links between components within one pair of blocks, no more than it takes to join them."""
+        ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+        sets = [np.asarray(x, np.int64) for x in rows.column("shingles").to_pylist()]
+        sizes, common = np.array([len(x) for x in sets]), common_counts(sets)
+        linked = (100 * common >= threshold * (sizes[:, None] + sizes - common)) & (labels[:, None] != labels)
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+            p, q = find(int(labels[i])), find(int(labels[j]))
+            if p != q:
+                root[p] = q
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return link
+
+
+def rest_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links across components within each bucket (members: key, id, label), found and confirmed block by block."""
+    sized = members.join(nodes.select("id", F.col("n_shingles").alias("n"), "bits", "bands"), "id")
+    # A member's block is a hash of its id; blocks are as many as keep members and shingles of a block few.
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    dealt = sized.join(sized.groupBy("key").agg(blocks), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     with_all = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = with_all.select(
-        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "label", "n_shingles", "bits"
-    )
-    return sided.groupBy("key", "x", "y").applyInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
+    sided = with_all.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side, "id", "label", "n", "bits", "bands")
+    candidates = written(sided.groupBy("key", "x", "y").applyInArrow(_block_candidates(threshold), "key long, x int, y int, id long"), "near-candidates")
+    sets = sets_of(candidates.select("id").distinct(), nodes, docs)
+    labels = members.select("id", "label").distinct()
+    return candidates.join(labels, "id").join(sets, "id").groupBy("key", "x", "y").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, rounds: int = 2) -> DataFrame:
@@ -214,10 +277,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, rounds: int = 2) -> Da
         if turn < rounds:
             star = placed.join(hubs, "key").filter("label <> hub_label")
             pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            found = confirmed(pairs, nodes, docs, threshold)
         else:
-            rest = placed.join(hubs.select("key"), "key").join(nodes.select("id", "n_shingles", "bits"), "id")
-            pairs = rest_pairs(rest.select("key", "id", "label", "n_shingles", "bits"), threshold)
-        links = links.union(written(confirmed(pairs, nodes, docs, threshold), "near-links"))
+            found = rest_links(placed.join(hubs.select("key"), "key").select("key", "id", "label"), nodes, docs, threshold)
+        links = links.union(written(found, "near-links"))
         labels = written(components(nodes, links), "near-components")
         # The next hub of a bucket is another member: one that was hub steps back.
         was = hubs.select("key", F.col("hub").alias("id"), F.lit(1).alias("was"))
