@@ -91,6 +91,8 @@ class Model:
     b: float = 0.0
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
+        if math.isinf(self.a):
+            return np.zeros(len(evidence))
         return 1 / (1 + np.exp(-np.clip(self.a + self.b * evidence, -500, 500)))
 
 
