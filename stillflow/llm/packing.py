@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, widened, written
-from stillflow.llm.token_counts import REMEMBERED, is_plain, split_pieces, vocabulary_path
+from stillflow.llm.token_counts import Memory, is_plain, split_pieces, vocabulary_path
 
 #: Ranks of pieces of one length are counted in so many separate groups.
 RANK_GROUPS = 512
+#: Pieces that the library is given as one text.
+TOGETHER = 500
 
 
 class Encoder:
@@ -39,24 +41,36 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first, self.later = Memory(), Memory()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        space = self.library.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of plain pieces, each with a space before it: many in one text, whose tokens that begin with a space begin the pieces."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            begins = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])).tolist()
+            parts = [ids[a:b] for a, b in zip(begins, [*begins[1:], len(ids)], strict=True)]
+            out += parts if len(parts) == len(group) else self._ids([f" {p}" for p in group])
+        return out
 
-    def _learn(self, known: dict[str, bytes | None], new: list[str], space: str) -> None:
+    def _learn(self, known: Memory, new: list[str], spaced: bool) -> None:
         plain = [p for p in new if is_plain(p)]
-        known.update((p, None) for p in new)
-        known.update(zip(plain, self._ids([space + p for p in plain]), strict=True))
+        known.update(dict.fromkeys(new))
+        known.update(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
+        self.first.age()
+        self.later.age()
         cut = [split_pieces(t) for t in texts]
-        self._learn(self.first, [*{c[0] for c in cut}.difference(self.first)], "")
-        self._learn(self.later, [*set().union(*(c[1:] for c in cut)).difference(self.later)], " ")
+        self._learn(self.first, self.first.unknown({c[0] for c in cut}), False)
+        self._learn(self.later, self.later.unknown(set().union(*(c[1:] for c in cut))), True)
         get, out, odd = self.later.__getitem__, [b""] * len(texts), []
         for i, c in enumerate(cut):
             try:

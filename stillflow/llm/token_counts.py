@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, widened
 
-#: Pieces that a worker remembers before it starts anew.
+#: Pieces that a worker remembers: when half as many are new, those not met since the last such time are forgotten.
 REMEMBERED = 400_000
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -113,13 +113,32 @@ def is_plain(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
 
+class Memory(dict):
+    """What is known of pieces, in two generations: what is asked for moves to the younger one, which in time replaces the older."""
+
+    def __init__(self):
+        self.older: dict = {}
+
+    def __missing__(self, piece: str):
+        self[piece] = value = self.older[piece]
+        return value
+
+    def unknown(self, pieces: set[str]) -> list[str]:
+        return [p for p in pieces if p not in self and p not in self.older]
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Counter:
     def __init__(self, path: str):
         self.merger = ArrayMerger(path)
-        self.first: dict[str, int | None] = {}  # of a text's first piece
-        self.later: dict[str, int | None] = {}  # of others, with the space before them; None where neighbours matter
+        self.first = Memory()  # of a text's first piece
+        self.later = Memory()  # of others, with the space before them; None where neighbours matter
 
-    def _learn(self, known: dict[str, int | None], new: list[str], space: str) -> None:
+    def _learn(self, known: Memory, new: list[str], space: str) -> None:
         plain = [p for p in new if is_plain(p)]
         known.update((p, None) for p in new)
         known.update(zip(plain, self.whole([space + p for p in plain]), strict=True))
@@ -140,12 +159,11 @@ class Counter:
         return (extra + np.bincount(owner, counts[flat], len(texts)).astype(np.int64)).tolist()
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
+        self.first.age()
+        self.later.age()
         cut = [split_pieces(t) for t in texts]
-        self._learn(self.first, [*{c[0] for c in cut}.difference(self.first)], "")
-        self._learn(self.later, [*set().union(*(c[1:] for c in cut)).difference(self.later)], " ")
+        self._learn(self.first, self.first.unknown({c[0] for c in cut}), "")
+        self._learn(self.later, self.later.unknown(set().union(*(c[1:] for c in cut))), " ")
         get, out, odd = self.later.__getitem__, [0] * len(texts), []
         for i, c in enumerate(cut):
             try:
