@@ -120,7 +120,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     both = numbered.join(served, [*key, "_number"])
     passes = both.withColumn("_pass", F.explode(F.when(F.col("taken") > F.col("_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_pass") * F.col("_size")).alias("_words")
-    at = F.coalesce(F.col("finish"), F.lit(0.0)) + F.col("_pass") * F.coalesce(F.col("source_size") / F.col("target"), F.lit(0.0))
+    at = F.coalesce(F.col("finish"), F.lit(0.0)) + F.col("_pass") * F.coalesce(F.try_divide(F.col("source_size").cast("double"), F.col("target")), F.lit(0.0))
     # A document without words costs nothing and stays.
     rows = passes.select("_row", "_size", words, at.alias("_finish"), "_id").filter("_words > 0 or _size = 0")
     ordered = rows.repartitionByRange(_partitions(docs), "_finish", "_id").sortWithinPartitions("_finish", "_id")
