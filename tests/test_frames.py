@@ -279,3 +279,20 @@ def test_intervals_are_checked(bad):
 def test_windows_are_checked():
     with pytest.raises(ValueError):
         selection.Options(fps=25.0, window=7)
+
+
+def test_run_resumes(spark, sequence, tmp_path):
+    from stillflow import cli, pipeline
+
+    out = str(tmp_path / "out")
+    first = pipeline.run(spark, sequence, out, seconds_per_still=0.4, min_luma=0, hash_distance=0)
+    assert len(first["written"]) == first["stills"] >= 4
+    assert pipeline.run(spark, sequence, out, seconds_per_still=0.4, min_luma=0, hash_distance=0) == {"written": [], "stills": first["stills"]}
+    again = pipeline.run(spark, sequence, out, interval=0.2, restorer=restore.Mean())
+    assert again["written"] and again["stills"] == first["stills"] + len(again["written"])
+    made = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert {s["restored"] for s in made["stills"]} == {True, False} and all(s["width"] == 80 for s in made["stills"])
+    assert len(pipeline.run_quick_preview(spark, sequence, out, 6)) == 6
+    assert names.parse_still_name is not None and not any("_s0" in p.name for p in (tmp_path / "out" / "preview").iterdir())
+    assert list(pipeline.run_folder(spark, [sequence, str(tmp_path / "none")], str(tmp_path / "all"), interval=1.0).values())[0] == "done"
+    assert cli.main(["doctor"]) == 0
