@@ -164,7 +164,18 @@ def segment_scan(spark, sf_dir):
     return S.in_segments(event_frames(spark, sf_dir), segments_merge(spark, sf_dir)).select("video_id", "seg", "i", "sharpness", "delta", "pos")
 
 
-@query()
+_SEGMENT_SCENES = f"""{_FRAMES}, {_SEGMENTS.strip()},
+inside AS (SELECT f.video_id, s.seg, f.i, CASE WHEN row_number() OVER w = 1 THEN 0.0e0 ELSE f.delta END AS delta, (row_number() OVER w - 1)::INT AS pos, (row_number() OVER (PARTITION BY f.video_id ORDER BY f.i) - row_number() OVER w)::INT AS ahead
+  FROM frames f JOIN segments s ON s.video_id = f.video_id AND f.i >= s.start AND f.i < s.stop WINDOW w AS (PARTITION BY f.video_id, s.seg ORDER BY f.i)),
+cuts AS (SELECT video_id, seg, pos FROM inside WHERE pos > 0 AND delta >= {THRESHOLD}e0),
+totals AS (SELECT video_id, seg, count(*)::INT AS total, min(ahead) AS ahead FROM inside GROUP BY video_id, seg),
+begins(video_id, seg, start) AS (SELECT video_id, seg, 0 FROM totals UNION ALL
+  SELECT b.video_id, b.seg, min(c.pos) FROM begins b JOIN cuts c ON c.video_id = b.video_id AND c.seg = b.seg AND c.pos >= b.start + {MIN_LEN} GROUP BY b.video_id, b.seg, b.start),
+kept AS (SELECT b.video_id, b.seg, b.start, t.total, t.ahead FROM begins b JOIN totals t ON t.video_id = b.video_id AND t.seg = b.seg WHERE b.start = 0 OR t.total - b.start >= {MIN_LEN}),
+ended AS (SELECT video_id, seg, start + ahead AS start, (lead(start, 1, total) OVER (PARTITION BY video_id, seg ORDER BY start) - 1 + ahead)::INT AS "end" FROM kept)"""
+
+
+@query(_with(_SEGMENT_SCENES, 'SELECT video_id, seg, (row_number() OVER (PARTITION BY video_id ORDER BY start) - 1)::INT AS id, start, "end" FROM ended'))
 def segment_scenes(spark, sf_dir):
     return S.segment_scenes(S.in_segments(event_frames(spark, sf_dir), segments_merge(spark, sf_dir)), THRESHOLD, MIN_LEN)
 
@@ -553,14 +564,14 @@ def manifest(spark, sf_dir):
     return rows.select("file", entry.alias("e")).select("file", "e.*")
 
 
-@query()
+@query(_with(_STILLS, "SELECT file, CASE WHEN doc_id % 2 = 0 THEN restored ELSE true END AS restored FROM stills", False))
 def prior_restored(spark, sf_dir):
     """What an earlier manifest says of its files; a file without the field counts as restored."""
     rows = stills.manifest_rows(_stills(spark, sf_dir)[0].withColumn("restored", F.when(F.col("doc_id") % 2 == 0, F.col("restored"))))
     return rows.select("file", F.coalesce(F.from_json("entry", "restored boolean")["restored"], F.lit(True)).alias("restored"))
 
 
-@query()
+@query(_with(_FRAMES, "SELECT video_id, CASE WHEN count(*) < 60 THEN 'failed' ELSE 'done' END AS status, CASE WHEN count(*) < 60 THEN count(*) || ' frames' END AS reason FROM frames GROUP BY video_id"))
 def batch_status(spark, sf_dir):
     """Outcome of each video of a batch: an error stays with its video."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
