@@ -69,7 +69,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input")
     p.add_argument("--out")
     p.add_argument("--force", action="store_true")
-    p.add_argument("--preview", nargs="?", const=20, type=int)
+    p.add_argument("--seeds", type=int, default=1)
+    how = p.add_mutually_exclusive_group()
+    how.add_argument("--preview", nargs="?", const=20, type=int)
+    how.add_argument("--upscale-stills", action="store_true")
     p.add_argument("--method", choices=("capture", "mean", "median"), default="capture")
     scanning(p)
     selecting(p)
@@ -130,11 +133,11 @@ def main(argv: list[str] | None = None) -> int:
             for x in inputs:
                 print(pipeline.run_quick_preview(spark, x, out, a.preview, a.fps))
         elif len(inputs) > 1:
-            status = pipeline.run_folder(spark, inputs, out, fps=a.fps, force=a.force, restorer=model, interval=a.interval, scan_options=so, **options)
+            status = pipeline.run_folder(spark, inputs, out, fps=a.fps, force=a.force, restorer=model, interval=a.interval, scan_options=so, seeds=a.seeds, upscale=a.upscale_stills, **options)
             print("\n".join(f"{k}: {v}" for k, v in status.items()))
             return int(any(v != "done" for v in status.values()))
         else:
-            print(pipeline.run(spark, inputs[0], out, a.fps, a.force, model, a.interval, so, **options))
+            print(pipeline.run(spark, inputs[0], out, a.fps, a.force, model, a.interval, so, a.seeds, a.upscale_stills, **options))
     return 0
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillflow.functions.hashing import hex_to_long
-from stillflow.functions.names import VIDEO_EXTENSIONS
+from stillflow.functions.names import VIDEO_EXTENSIONS, upscaled_name
 from stillflow.operators import preview, restore, scenes, selection, sheet, stills
 from stillflow.sources import documents, images, video
 
@@ -92,54 +92,96 @@ def select(spark: SparkSession, scanned: dict, interval: float = 0.0, by_frame_n
     return {k: scanned[k] for k in ("scan_version", "video", "content_box", "scenes")} | {"select_version": documents.SELECT_VERSION, "select": {**more, "selected": len(picks), "options": key}, "picks": picks}
 
 
-def restore_picks(spark: SparkSession, path: str, chosen: dict, out: str, restorer: restore.Restorer | None = None, fps: float = 25.0, force: bool = False, suffix: str = "") -> list[str]:
-    """Writes the stills of a selection that a folder lacks; returns their names. A restorer sees windows cut to the content box.
+def _write_windows(spark: SparkSession, path: str, wanted: DataFrame, chosen: dict, out: str, model: restore.Restorer, fps: float) -> list[str]:
+    """Restores the window around each wanted (video_id, frame, file, seed) and writes it to its file in out.
 
-    Windows are gathered and restored in the cluster; pictures go to files one at a time on the driver.
+    Windows are gathered, cut to the content box and restored in the cluster; pictures go to files one at a time on the
+    driver, each under a name that no listing takes until it is whole.
     """
-    os.makedirs(out, exist_ok=True)
-    stem = os.path.splitext(chosen["video"]["filename"])[0]
-    picks = spark.createDataFrame([(path, p["frame"], p["scene"], stem) for p in chosen["picks"]], "video_id string, frame int, scene int, stem string")
-    named = stills.still_names(picks, "stem")
-    have = spark.createDataFrame([(f, True) for f in sorted(os.listdir(out)) if f.endswith(".png")], "file string, restored boolean")
-    todo = stills.resume_todo(named, have, force=force).filter("state = 'todo'")
-    size, model = chosen["select"]["window"], restorer or restore.Centre()
     box = tuple(chosen["content_box"][k] for k in "xywh")
 
     def run(pdf):
         def one(r) -> bytes:
             x, y, w, h = box
             stack = [np.frombuffer(m["data"], np.uint8).reshape(m["height"], m["width"], 3)[y : y + h, x : x + w, ::-1] for m in r["members"]]
-            return images.png_bytes(model.restore(np.stack(stack)))
+            more = {} if r["seed"] is None or r["seed"] != r["seed"] else {"seed": int(r["seed"])}
+            return images.png_bytes(model.restore(np.stack(stack), **more))
 
         for rows in pdf:
             yield rows.assign(png=[one(r) for _, r in rows.iterrows()])[["file", "png"]]
 
-    windows = restore.restore_windows(todo.select("video_id", "frame"), load_frames(spark, path, fps), ["data", "height", "width"], size)
+    if wanted.isEmpty():
+        return []
+    windows = restore.restore_windows(wanted.select("video_id", "frame").distinct(), load_frames(spark, path, fps), ["data", "height", "width"], chosen["select"]["window"])
     missing = windows.filter(~F.col("complete")).select("frame").limit(3).collect()
     if missing:
         raise OSError(f"frames are missing around {[r.frame for r in missing]}")
-    made = windows.join(todo.select("frame", "file"), "frame").select("file", "members").mapInPandas(run, "file string, png binary")
+    made = windows.join(wanted.select("frame", "file", "seed"), "frame").select("file", "seed", "members").mapInPandas(run, "file string, png binary")
     done = []
     for r in made.toLocalIterator():
-        name = r.file[:-4] + suffix + ".png"
-        part = os.path.join(out, name + ".part")
+        part = os.path.join(out, r.file + ".part")
         with open(part, "wb") as file:
             file.write(r.png)
-        os.replace(part, os.path.join(out, name))
-        done.append(name)
+        os.replace(part, os.path.join(out, r.file))
+        done.append(r.file)
     return sorted(done)
 
 
-def publish(spark: SparkSession, folder: str, chosen: dict | None, out_sheet: str, out_manifest: str, restored: bool = True, **layout) -> dict:
-    """The contact sheet and the manifest of a folder of stills; what an earlier manifest says of files that are still there holds."""
+def _picks(spark: SparkSession, path: str, chosen: dict) -> DataFrame:
+    stem = os.path.splitext(chosen["video"]["filename"])[0]
+    return spark.createDataFrame([(path, p["frame"], p["scene"], stem) for p in chosen["picks"]], "video_id string, frame int, scene int, stem string")
+
+
+def _present(spark: SparkSession, folder: str, manifest: str | None) -> DataFrame:
+    """file, restored of the stills in a folder, as its manifest has them; unknown ones have null."""
+    names = spark.createDataFrame([(f,) for f in sorted(os.listdir(folder)) if f.endswith(".png")], "file string")
+    if not manifest or not os.path.exists(manifest):
+        return names.withColumn("restored", F.lit(None).cast("boolean"))
+    return names.join(documents.prior_restored(documents.read_manifest(spark, manifest)), "file", "left")
+
+
+def restore_picks(
+    spark: SparkSession, path: str, chosen: dict, out: str, restorer: restore.Restorer | None = None, fps: float = 25.0, force: bool = False, seed: int = 42, seeds: int = 1, manifest: str | None = None
+) -> list[str]:
+    """Writes the stills of a selection that a folder lacks (one for each of seeds seeds); returns their names.
+
+    Without a restorer the middle frames are captured, where seeds mean nothing. Stills that an earlier run captured are
+    not restored over: the run stops unless forced.
+    """
+    os.makedirs(out, exist_ok=True)
+    picks = stills.seed_variants(_picks(spark, path, chosen), seed, seeds if restorer else 1)
+    state = stills.resume_todo(stills.still_names(picks, "stem"), _present(spark, out, manifest), restoring=restorer is not None, force=force)
+    stale = state.filter("state = 'stale'").select("file").limit(1).collect()
+    if stale:
+        raise RuntimeError(f"{out} holds captures, as {stale[0].file}: delete what is not wanted and use upscale_stills, or force the whole run")
+    wanted = state.filter("state = 'todo'").select("video_id", "frame", "file", F.col("name_seed").alias("seed"))
+    return _write_windows(spark, path, wanted, chosen, out, restorer or restore.Centre(), fps)
+
+
+def upscale_stills(spark: SparkSession, path: str, chosen: dict, out: str, restorer: restore.Restorer, fps: float = 25.0, force: bool = False, manifest: str | None = None) -> dict[str, list[str]]:
+    """Restores, beside them, the captures that survived a review of the folder; returns the files by state."""
+    present = _present(spark, out, manifest)
+    picks = _picks(spark, path, chosen)
+    kept = stills.kept_stills(present.select("file"), picks, present.withColumn("restored", F.coalesce("restored", F.lit(False))), force).persist()
+    states: dict[str, list[str]] = {}
+    for r in kept.orderBy("file").collect():
+        states.setdefault(r.state, []).append(r.file)
+    todo = kept.filter("state = 'todo'").join(picks.select("video_id", "frame"), "frame")
+    states["written"] = _write_windows(spark, path, todo.select("video_id", "frame", upscaled_name(F.col("file")).alias("file"), F.lit(None).cast("int").alias("seed")), chosen, out, restorer, fps)
+    kept.unpersist()
+    return states
+
+
+def publish(spark: SparkSession, folder: str, chosen: dict | None, out_sheet: str, out_manifest: str, restored: bool = True, written: list[str] | None = None, **layout) -> dict:
+    """The contact sheet and the manifest of a folder of stills. restored holds for files just written (all, if unsaid);
+    what an earlier manifest says of the others holds, and files that none accounts for count as restored."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
     sizes = spark.read.format("image").option("pathGlobFilter", "*.png").load(folder).select(F.regexp_extract("image.origin", "[^/]*$", 0).alias("file"), "image.width", "image.height")
     picks = spark.createDataFrame([(p["frame"], p["t"], p["sharpness"], p["window"]) for p in (chosen or {}).get("picks", [])], "frame int, t double, sharpness double, window array<int>")
-    prior = spark.createDataFrame([], "file string, restored boolean")
+    new = spark.createDataFrame([(f, restored) for f in (os.listdir(folder) if written is None else written)], "file string, restored boolean")
+    known = new
     if os.path.exists(out_manifest):
-        prior = documents.prior_restored(documents.read_manifest(spark, out_manifest))
-    known = spark.createDataFrame([(f, restored) for f in os.listdir(folder) if f.endswith(".png")], "file string, restored boolean").join(prior, "file", "left_anti").unionByName(prior)
+        known = new.unionByName(documents.prior_restored(documents.read_manifest(spark, out_manifest)).join(new, "file", "left_anti"))
     rows = stills.variant_labels(stills.with_restored(stills.collect_stills(files, picks).join(sizes, "file"), known)).withColumn("sheet", F.lit(0))
     first, second = sheet.labels()
     cells = [r.asDict(recursive=True) for r in sheet.sheet_layout(rows, ["sort_key"], **layout).withColumns({"first": first, "second": second}).orderBy("ordinal").collect()]
@@ -160,8 +202,13 @@ def _fresh(path: str, version: str, number: int, part: str, key: str) -> dict |
     return None
 
 
-def run(spark: SparkSession, path: str, out: str, fps: float = 25.0, force: bool = False, restorer: restore.Restorer | None = None, interval: float = 0.0, scan_options: dict | None = None, **options) -> dict:
-    """All stages of one input into out/: work/scan.json, work/select.json, stills/, contact_sheet.jpg, manifest.json."""
+def run(
+    spark: SparkSession, path: str, out: str, fps: float = 25.0, force: bool = False, restorer: restore.Restorer | None = None, interval: float = 0.0, scan_options: dict | None = None, seeds: int = 1, upscale: bool = False, **options
+) -> dict:
+    """All stages of one input into out/: work/scan.json, work/select.json, stills/, contact_sheet.jpg, manifest.json.
+
+    upscale: what is left of an earlier run's captures is restored, instead of the selection.
+    """
     work, folder = os.path.join(out, "work"), os.path.join(out, "stills")
     os.makedirs(work, exist_ok=True)
     so = {"threshold": scenes.SCENE_THRESHOLD, "min_len": scenes.MIN_SCENE_LEN, "box": True, "segments": None} | (scan_options or {})
@@ -175,8 +222,13 @@ def run(spark: SparkSession, path: str, out: str, fps: float = 25.0, force: bool
     if chosen is None:
         chosen = select(spark, scanned, interval, **options)
         documents.write_document(chosen, f"{work}/select.json")
-    made = restore_picks(spark, path, chosen, folder, restorer, fps, force)
-    manifest = publish(spark, folder, chosen, f"{out}/contact_sheet.jpg", f"{out}/manifest.json", restored=restorer is not None)
+    record = f"{out}/manifest.json"
+    if upscale:
+        os.makedirs(folder, exist_ok=True)
+        made = upscale_stills(spark, path, chosen, folder, restorer or restore.Mean(), fps, force, record)["written"]
+    else:
+        made = restore_picks(spark, path, chosen, folder, restorer, fps, force, seeds=seeds, manifest=record)
+    manifest = publish(spark, folder, chosen, f"{out}/contact_sheet.jpg", record, written=made, restored=upscale or restorer is not None)
     return {"written": made, "stills": manifest["still_count"]}
 
 

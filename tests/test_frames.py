@@ -288,10 +288,15 @@ def test_run_resumes(spark, sequence, tmp_path):
     first = pipeline.run(spark, sequence, out, seconds_per_still=0.4, min_luma=0, hash_distance=0)
     assert len(first["written"]) == first["stills"] >= 4
     assert pipeline.run(spark, sequence, out, seconds_per_still=0.4, min_luma=0, hash_distance=0) == {"written": [], "stills": first["stills"]}
-    again = pipeline.run(spark, sequence, out, interval=0.2, restorer=restore.Mean())
-    assert again["written"] and again["stills"] == first["stills"] + len(again["written"])
+    options = {"seconds_per_still": 0.4, "min_luma": 0, "hash_distance": 0}
+    with pytest.raises(RuntimeError, match="captures"):
+        pipeline.run(spark, sequence, out, restorer=restore.Mean(), **options)
+    (tmp_path / "out" / "stills" / first["written"][0]).unlink()
+    up = pipeline.run(spark, sequence, out, restorer=restore.Mean(), upscale=True, **options)
+    assert up["written"] == [f.replace(".png", "_upscaled.png") for f in first["written"][1:]] and up["stills"] == 2 * len(up["written"])
     made = json.loads((tmp_path / "out" / "manifest.json").read_text())
-    assert {s["restored"] for s in made["stills"]} == {True, False} and all(s["width"] == 80 for s in made["stills"])
+    assert {s["file"]: s["restored"] for s in made["stills"]} == {f: "_upscaled" in f for f in first["written"][1:] + up["written"]} and all(s["width"] == 80 for s in made["stills"])
+    assert pipeline.run(spark, sequence, out, restorer=restore.Mean(), upscale=True, **options)["written"] == []
     assert len(pipeline.run_quick_preview(spark, sequence, out, 6)) == 6
     assert names.parse_still_name is not None and not any("_s0" in p.name for p in (tmp_path / "out" / "preview").iterdir())
     assert list(pipeline.run_folder(spark, [sequence, str(tmp_path / "none")], str(tmp_path / "all"), interval=1.0).values())[0] == "done"
