@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def _block_candidates(threshold: int):
         """The members of one pair of a bucket's blocks that have a candidate in it which no earlier band has."""
         sides = []
         for side in (0, 1):
-            t = rows.filter(pa.compute.equal(rows.column("side"), side))
+            t = rows.filter(pc.equal(rows.column("side"), side))
             sides.append(
                 {c: t.column(c).to_numpy() for c in ("id", "label", "n")}
                 | {"bits": np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS), "bands": np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)}
