@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: list[str] = []
+#: Where tables go that the operator at work does not need once it has its result.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for those asked to stay, are removed at the end."""
+    folder = f"{shared_dir(spark)}/stillflow/{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and the rows outlive the executors that made them."""
-    path = f"{shared_dir(df.sparkSession)}/stillflow/{name}-{uuid.uuid4().hex}"
+    folder = None if stays else _FOLDER.get()
+    path = f"{folder or shared_dir(df.sparkSession) + '/stillflow'}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillflow.llm.common import batches, written
+from stillflow.llm.common import batches, scratch, written
 from stillflow.llm.words import mix, sequence_hash, shingles, split_words
 
 SHINGLE_WORDS = 5
@@ -253,8 +253,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, rounds: int = 2) -> Da
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text): links are pairs with
     100 * intersection >= threshold * union of their distinct shingles; component_id is the smallest doc_id reachable.
 
-    rounds: how often a bucket's best-connected member is compared before what remains is compared in blocks.
+    rounds: how often a bucket's best-connected member is compared before what remains is compared in blocks. The work
+    is done at once; the result is a table of its own, and the tables that led to it are removed.
     """
+    with scratch(docs.sparkSession):
+        return written(_near_duplicates(docs, threshold, rounds), "near-result", stays=True)
+
+
+def _near_duplicates(docs: DataFrame, threshold: int, rounds: int) -> DataFrame:
     signed = written(signatures(docs), "near-signatures")
     worded = signed.filter("n_shingles > 0")
     same = [F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")]

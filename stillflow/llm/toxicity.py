@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillflow.llm.common import batches, held_out, widened, written
+from stillflow.llm.common import batches, held_out, scratch, widened, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that a model is learned from, at most.
@@ -204,6 +204,11 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold_held_out: int = HELD_OUT, bound: int = MAX_LABELLED) -> Model:
     """A model of the labels (doc_id, toxic) of docs (doc_id, text) outside the held-out fold."""
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, folds, fold_held_out, bound)
+
+
+def _train(docs: DataFrame, labels: DataFrame, folds: int, fold_held_out: int, bound: int) -> Model:
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id", folds, fold_held_out))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
