@@ -401,6 +401,33 @@ def test_exchange_finds_classes():
     assert len({(int(of[k]), bool(order[k] < 6)) for k in range(n)}) == 2
 
 
+def test_best_class_is_that_of_the_largest_likelihood():
+    rng = np.random.default_rng(5)
+    n, fixed, size = 30, 3, 8
+    bigrams = rng.integers(0, 9, (n, n)) * (rng.random((n, n)) < 0.3).astype(float)
+    of = np.concatenate([np.arange(size), rng.integers(0, size, n - size)])
+
+    def likelihood(of_):
+        m = np.eye(size)[of_]
+        return lm_score._likelihood(m.T @ bigrams @ m)
+
+    m, self_ = np.eye(size)[of], np.diag(bigrams)
+    after, before = (x @ m - self_[:, None] * m for x in (bigrams, bigrams.T))
+    got = lm_score.best_classes(of, after, before, self_, m.T @ bigrams @ m, fixed)
+    for w in range(n):
+        of_each = [likelihood(np.where(np.arange(n) == w, k, of)) for k in range(fixed, size)]
+        assert of_each[got[w] - fixed] == pytest.approx(max(of_each), abs=1e-9)
+
+
+def test_words_that_do_not_start_the_classes_are_clustered(spark):
+    """Two kinds of words take turns; all end alike. Few of them start the classes, yet every word is told apart."""
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}x" for i in range(60)] for k in "pq"]
+    texts = [" ".join(rng.choice(kinds[(i + j) % 2]) for j in range(60)) for i in range(200)]
+    few, all_ = (sum(r.score for r in lm_score.score(table(spark, texts), frequent=f).collect()) for f in (10, 500))
+    assert few == pytest.approx(all_, rel=0.02)
+
+
 # 9. Mixing.
 
 
