@@ -4,10 +4,13 @@ A page becomes a tree of elements. Every node has its characters per tag, adjust
 node's density sum is the sum over its children. The subtree with the largest density sum is the article; the smallest
 density on the path from the body to it is the threshold that text elsewhere must reach to belong to it. Elements that
 name themselves as something else (navigation, forms, adverts, comments, ...) are left out before densities are taken.
+A class or id counts as a name if the whole of it is one, or all its parts are names and words of position: 'has-sidebar'
+and 'related-work' are none. A named element stays if it holds the only article or main, if the page has no text without
+it, or, for names of several parts, if it holds most of the text; then density decides.
 
 Text is joined as read: character references decoded, white space inside a block one space, blocks joined by one space.
 
-Defined cases. A null or empty page, and one with nothing but left-out elements, gives the empty text. Broken markup is
+Defined cases. A null or empty page, and one with nothing but elements left out by tag or role, gives the empty text. Broken markup is
 read as far as it goes: unclosed elements end with their parents, a < that begins no tag is text. Rows are read one by
 one, so repeated rows give repeated results. Columns other than html are passed through; added columns replace those of
 their names.
@@ -38,9 +41,13 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot article section main body h
 OTHER_TAGS = frozenset("nav footer aside form button menu dialog fieldset label input search head".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 OTHER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay footer masthead toolbar pagination pager widget widgets skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay footer masthead toolbar pagination pager widget widgets skip".split()
 )
 EXEMPT = frozenset("html body main article".split())
+# Words beside those in a class or id that do not change what it names.
+POSITIONS = frozenset("site page top bottom left right inner outer box area bar block container wrapper wrap list item items link links post posts article articles story stories section slot unit form thread primary secondary global mobile desktop".split())
+# Why an element is left out: its tag or role, a name of several parts, a name.
+BY_TAG, BY_PARTS, BY_NAME = 1, 2, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -51,28 +58,68 @@ class Node:
     __slots__ = ("tag", "parent", "children", "parts", "other", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.parts, self.other = tag, parent, [], [], False
+        self.tag, self.parent, self.children, self.parts, self.other = tag, parent, [], [], 0
         if parent is not None:
             parent.children.append(self)
             parent.parts.append(self)
 
 
-def _is_other(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(value: str, inside_article: bool) -> int:
+    """Whether a class or id names what is not the article: BY_NAME, BY_PARTS or 0."""
+    found = 0
+    for token in value.split():
+        words = _WORDS.findall(token)
+        other = [w for w in words if w in OTHER_WORDS or (w == "header" and not inside_article)]
+        if other and len(words) == 1:
+            return BY_NAME
+        if other and all(w in other or w in POSITIONS or w.isdigit() for w in words):
+            found = BY_PARTS
+    return found
+
+
+def _is_other(tag: str, attributes: str, inside_article: bool) -> int:
+    """BY_TAG, BY_NAME, BY_PARTS, or 0 if the element may be content."""
     if tag in OTHER_TAGS or (tag == "header" and not inside_article):
-        return True
+        return BY_TAG
     if not attributes or tag in EXEMPT:
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return BY_TAG
         if name == "role" and value in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and not OTHER_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-        if name in ("class", "id") and not inside_article and "header" in _WORDS.findall(value):
-            return True
-    return False
+            return BY_TAG
+        if name in ("class", "id"):
+            found = max(found, _named(value, inside_article))
+    return found
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Named elements that the article is in are not left out."""
+    nodes, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        nodes.append(x)
+        stack.extend(c for c in x.children if c.other != BY_TAG)
+    if not any(x.other for x in nodes):
+        return
+    chars: dict[int, int] = {}
+    holds: set[int] = set()
+    for x in reversed(nodes):
+        chars[id(x)] = sum(len(" ".join(p.split())) if isinstance(p, str) else chars.get(id(p), 0) for p in x.parts)
+        if x.tag in ("article", "main") or any(id(c) in holds for c in x.children):
+            holds.add(id(x))
+    outside = any(x.tag in ("article", "main") for x in _in_order(root))
+    for x in nodes:
+        if x.other and ((id(x) in holds and not outside) or (x.other == BY_PARTS and 2 * chars[id(x)] > chars[id(root)])):
+            x.other = 0
+    while not any(isinstance(p, str) and p.strip() for x in _in_order(root) for p in x.parts):
+        outermost = [c for x in _in_order(root) for c in x.children if c.other > BY_TAG]
+        if not outermost:
+            return
+        for c in outermost:
+            c.other = 0
 
 
 def parse(page: str) -> Node:
@@ -181,6 +228,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_wrappers(root)
     nodes = _in_order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     nodes = _in_order(body)

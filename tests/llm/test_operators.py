@@ -267,6 +267,27 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout has-sidebar'>{BODY}</div>", f"<div class='no-sidebar'><article>{BODY}</article></div>", f"<div id='page' class='with-menu'><main>{BODY}</main></div>", f"<div class='sidebar-left'>{BODY}</div><p>x</p>",
+        f"<div class='sidebar'><article>{BODY}</article></div><p>by the way</p>", f"<div class='widget'>{BODY}</div>",
+    ],
+)
+def test_wrappers_of_the_article_stay(page):
+    assert "The article has a first paragraph" in main_text(page) and "in the middle of it." in main_text(page)
+
+
+@pytest.mark.parametrize("named", ["id='discussion'", "class='related-work'"])
+def test_sections_of_the_article_stay(named):
+    assert main_text(f"<article>{BODY}<section {named}><p>What others have found.</p></section></article>").endswith("What others have found.")
+
+
+def test_names_of_several_parts_are_left_out():
+    page = f"<main>{BODY}</main><div class='site-footer'>end</div><div class='comment-list'><p>remark</p></div><div id='cookie-banner'>take</div>"
+    assert main_text(page) == main_text(f"<main>{BODY}</main>")
+
+
 @given(st.text(alphabet="<>/abp =\"'&;-!\n", max_size=200))
 @settings(max_examples=200, deadline=None)
 def test_broken_markup_does_not_stop_it(page):
