@@ -75,6 +75,11 @@ def fold(text: str) -> str:
     return f" {text.translate(_FOLDING)} "
 
 
+def spaced(text: str) -> str:
+    """The text folded, its words set off by single spaces: what evidence is learned and measured on."""
+    return " ".join(["", *fold(text).split(), ""])
+
+
 def features(folded: str) -> set[str]:
     """Possible entries of a folded text: ' word ' and ' stem'."""
     words = set(folded.split())
@@ -175,7 +180,7 @@ def _examine(entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]
         for batch in rows:
             evidence, pairs = [], []
             for text in batch.column("text").to_pylist():
-                folded = " ".join(["", *fold(text or "").split(), ""])
+                folded = spaced(text or "")
                 found = set()
                 for at, _ in matcher.hits(folded):
                     before, after = folded[:at].rsplit(" ", 1)[-1], folded[at + 1 :].split(" ", 2)
@@ -241,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.entries, model.exceptions)
         for batch in batches(rows, "text"):
-            evidence = np.array([matcher.evidence(fold(t or "")) for t in batch.column("text").to_pylist()])
+            evidence = np.array([matcher.evidence(spaced(t or "")) for t in batch.column("text").to_pylist()])
             scores = model.score(evidence)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

@@ -379,6 +379,13 @@ def test_exceptions_mask_entries():
     assert m.hits(toxicity.fold("a trash can, TR4SH")) == [(13, 3.0)]
 
 
+def test_marks_and_blanks_do_not_change_scores(spark):
+    model = toxicity.Model(((" trash ", 3.0), (" zorfle ", 5.0)), (" trash can ",), -3.0, 1.0)
+    texts = ["a zorfle and words", "a *** zorfle ### and      words ...", "a trash can here", "a trash,  can here"]
+    plain, marked, masked, apart = (r.score for r in toxicity.score(table(spark, texts), model).orderBy("doc_id").collect())
+    assert marked == plain and apart == masked
+
+
 # 8. Language-model scores.
 
 
