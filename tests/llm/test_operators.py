@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stillflow.llm import ann, fingerprints, lm_score, mixing, near_dup, packing, toxicity, url_filter
+from stillflow.llm import ann, fingerprints, html_text, lm_score, mixing, near_dup, packing, toxicity, url_filter
 from stillflow.llm.html_text import extract, main_text
 from stillflow.llm.token_counts import ArrayMerger, count_tokens, vocabulary_path
 from stillflow.llm.words import shingles, split_words
@@ -267,20 +268,88 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LONG = "".join(f"<p>{f'Sentence number {k} of the article goes on for a while. ' * k}</p>" for k in range(1, 8))
+
+
 @pytest.mark.parametrize(
     "page",
     [
-        f"<div class='layout has-sidebar'>{BODY}</div>", f"<div class='no-sidebar'><article>{BODY}</article></div>", f"<div id='page' class='with-menu'><main>{BODY}</main></div>", f"<div class='sidebar-left'>{BODY}</div><p>x</p>",
-        f"<div class='sidebar'><article>{BODY}</article></div><p>by the way</p>", f"<div class='widget'>{BODY}</div>",
+        "<div class='layout has-sidebar'>{}</div>", "<div class='no-sidebar'><article>{}</article></div>", "<div id='page' class='with-menu'><main>{}</main></div>", "<div class='sidebar-left'>{}</div><p>x</p>", "<div class='site nav-fixed'>{}</div>",
+        "<div class='sidebar'><article>{}</article></div><p>by the way</p>", "<div class='widget'>{}</div>", "<div class='post comments-open'>{}</div>", "<form><nav><a>x</a></nav><div>{}</div><footer>end</footer></form>", "<object>{}", "<aside>{}", "<div style='overflow:hidden'>{}</div>",
+        "<body><nav>x</nav><div class='ad'>Buy it now</div>{}<footer>end</footer></body>", "<div hidden><p>" + "unseen " * 900 + "</p></div><div>{}</div>",
     ],
 )
 def test_wrappers_of_the_article_stay(page):
-    assert "The article has a first paragraph" in main_text(page) and "in the middle of it." in main_text(page)
+    for text in (BODY, LONG):
+        assert main_text(page.format(text)) == main_text(text) != ""
+
+
+@pytest.mark.parametrize("part, text", [("<section id='discussion'><p>What others found.</p></section>", "What others found."), ("<p class='share-price'>It rose.</p>", "It rose."), ("<div class='story-related-intro'><p>Before.</p></div>", "Before."), ("<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>", "One Two Three")])
+def test_parts_of_the_article_stay(part, text):
+    assert main_text(f"<article>{LONG}{part}</article>") == f"{main_text(LONG)} {text}"
+    assert main_text(f"<div class='c1'><a href=x>y</a></div><div class='c2'>{LONG}{part}</div>") == f"{main_text(LONG)} {text}"
+
+
+@pytest.mark.parametrize("article", [LONG, f"<article>{LONG}</article>", "<h1>The title</h1><p>" + "One paragraph is all there is. " * 9 + "</p>", f"<div>{LONG}</div><div class='comments'>{LONG * 3}</div>"])
+def test_density_leaves_out_neutral_clutter(article, monkeypatch):
+    """No tag, role or class tells what the parts are."""
+    links = "".join(f"<li><a href={k}>Part {k}</a></li>" for k in range(6))
+    page = f"<div class=c1><ul>{links}</ul></div><div class=c2>{article}</div><div class=c3><h3>Most read</h3><p>Headline one of today</p><p>Another headline</p><ul>{links}</ul></div><div class=c4><p>Copyright 2024 Example Media. All rights reserved.</p></div>"
+    alone = main_text(article)
+    assert main_text(f"<body>{page}</body>") == main_text(f"<body><div>{page}</div></body>") == alone
+    monkeypatch.setattr(html_text, "density", lambda *_: 0.0)
+    assert main_text(f"<body>{page}</body>") != alone
+
+
+def brute_density(x, body_links):
+    """Density and sum of a node, counted anew for every node by walking its whole subtree."""
+
+    def below(y):
+        return [z for c in y.children for z in (c, *below(c))]
+
+    def chars(y):
+        return sum(len(" ".join(p.split())) for z in (y, *below(y)) for p in z.parts if isinstance(p, str))
+
+    def linked(y):
+        return chars(y) if y.tag == "a" else sum(linked(c) for c in y.children)
+
+    c, t, lc, lt = chars(x), len(below(x)), linked(x), sum(z.tag == "a" for z in (x, *below(x)))
+    if not c:
+        return 0.0
+    t, lc1, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    return c / t * math.log(max(1, c * t / (lc1 * lt)), math.log(c * lc1 / max(1, c - lc) + body_links * c + math.e))
+
+
+@given(st.recursive(st.text(alphabet="ab c", max_size=30), lambda inner: st.tuples(st.sampled_from(["p", "div", "a", "b", "section"]), st.lists(inner, max_size=4)), max_leaves=25))
+@settings(max_examples=100, deadline=None)
+def test_densities_match_brute_force(tree):
+    def page(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(page, x[1]))}</{x[0]}>"
+
+    root = html_text.parse(f"<body>{page(tree)}</body>")
+    nodes = html_text.in_order(root)
+    html_text._weigh(nodes)
+    html_text.measure(nodes, root)
+    for x in nodes:
+        assert x.density == pytest.approx(brute_density(x, root.link_chars / max(1, root.chars)))
+        assert x.sum == pytest.approx(sum(c.density for c in x.children))
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a ="', '<a =\'">', "<div>", "<p><b>", "<li><ul>", "</script ", "<script></script ", "<", "&#", "<!--", "</b><b>", "<table><tr><td>"])
+def test_long_bad_markup_takes_linear_time(part):
+    begun = time.process_time()
+    main_text(part * (500_000 // len(part)))
+    assert time.process_time() - begun < 4
+
+
+def test_references_beyond_all_characters():
+    assert main_text("x &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; &#xD800; &amp;lt;") == "x � A � &lt;"
 
 
-@pytest.mark.parametrize("named", ["id='discussion'", "class='related-work'"])
-def test_sections_of_the_article_stay(named):
-    assert main_text(f"<article>{BODY}<section {named}><p>What others have found.</p></section></article>").endswith("What others have found.")
+def test_pages_that_repeat_and_clash(spark):
+    rows = [(1, "u", "<p>x</p>", 7), (1, "u", "<p>x</p>", 7), (None, None, None, None), (2, "v", "", 7)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted(((r.page_id, r.text, r.n_chars) for r in out), key=repr) == sorted([(1, "x", 1), (1, "x", 1), (None, "", 0), (2, "", 0)], key=repr)
 
 
 def test_names_of_several_parts_are_left_out():
