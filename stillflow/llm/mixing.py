@@ -2,16 +2,19 @@ r"""Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in a random but repeatable order. A document's virtual finish time is the
 number of words its source has sent with it, divided by the source's target: at virtual time 1 every source has sent
-its target. All documents are sorted by virtual finish time, over the whole cluster, and the mix ends where the total
-budget is spent; a document that its source is then sending is cut at the budget. Sources may be sent twice: the second
-pass follows the first in the same order.
+its target. Sources may be sent twice: the second pass follows the first in the same order. All sendings are sorted by
+virtual finish time, over the whole cluster, and the running total of that order ends where the total budget is spent.
+A document that its source would be sending at virtual time 1 is cut there, so that a long document does not keep its
+source from its target: what it has sent by then, the word it is in the middle of, and the rest are sendings of their own.
 
 Running totals come from a range partitioning: a sum within each partition and the sums of the partitions before it,
-so a source that holds a third of all rows spreads over many partitions.
+so a source that holds a third of all rows spreads over many partitions. They run over sizes; texts take no part.
 
-Defined cases. A null text has size 0 and takes 0. A null source is a source of its own and comes last. Rows that are
-equal in all of source, doc_id and size are served in any order: the words taken of them are the same set of numbers.
-An empty table gives an empty result. Other columns are carried along.
+Defined cases. A null or empty text has size 0 and takes 0; a very long one is one document as any other. A null source
+is a source of its own and comes last. Ties in the order go by doc_id and size; rows that are equal in all of source,
+doc_id and size (repeated rows) are served in any order: the words taken of them are the same set of numbers. A null
+doc_id is kept. An empty table gives an empty result. Columns other than doc_id, source and text are not read; those of
+mixed_rows are carried along.
 """
 
 from __future__ import annotations
@@ -80,38 +83,58 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return filled.select("source", "source_size", target.alias("target"), "source_before")
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words of the text) of docs, as a table."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
-    """docs and size, source_size, target, taken (words the mix takes, repeats counted), finish (virtual finish time of the first pass)."""
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    return mix_sized(sized, weights, share, most, seed)
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), finish (virtual finish time of
+    the first pass) of each row of docs (doc_id, source, text)."""
+    return mix_sized(sizes(docs), weights, share, most, seed)
 
 
 def mix_sized(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
-    """As mix(), for rows that have doc_id, source and size already."""
-    sized = sized.drop("source_size", "target", "taken", "finish").withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), "size"))
-    queue = running(sized, [F.col("source").isNull().cast("int"), F.col("source"), F.col("_at"), F.col("doc_id"), F.col("size")], ["size"], "mix-queues")
+    """As mix(), for rows of doc_id, source and size."""
+    shuffled = sized.select("doc_id", "source", "size").withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), "size"))
+    queue = running(shuffled, [F.col("source").isNull().cast("int"), F.col("source"), F.col("_at"), F.col("doc_id"), F.col("size")], ["size"], "mix-queues")
     of_source = targets(queue.select("source", "size"), weights, share, most)
     joined = queue.join(of_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_at")
-    start = F.col("before_size") - F.col("source_before")
-
-    def sent(begin: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") - begin))).cast("long")
-
-    taken = sent(start) + sent(start + F.col("source_size"))
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
-    return joined.select(*[c for c in sized.columns if c != "_at"], "source_size", "target", taken.alias("taken"), finish.alias("finish"))
+    # What a source has sent before a document, in the first pass.
+    placed = written(joined.withColumn("begin", F.col("before_size") - F.col("source_before")).drop("source_before"), "mix-places")
+    budget = int(share * (placed.agg(F.sum("size")).first()[0] or 0))
+    served = _served(placed, budget)
+    # Of rows without words several may share a place; nothing is taken of them.
+    both = placed.join(served.withColumnRenamed("before_size", "_place"), (F.col("before_size") == F.col("_place")) & (F.col("size") > 0), "left")
+    finish = F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target"))
+    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), finish.alias("finish"))
+
+
+def _served(placed: DataFrame, budget: int) -> DataFrame:
+    """before_size (the place of a document in the order of all queues), taken: what is sent of it before the budget is spent."""
+    passes = placed.filter("size > 0").select("before_size", "size", "target", F.explode(F.array(F.col("begin"), F.col("begin") + F.col("source_size"))).alias("begin"))
+    # Sendings that begin at virtual time 1 or later are never reached: what begins before it holds the budget.
+    begun = passes.filter("begin < target")
+    until = F.least(F.col("size"), F.floor(F.col("target") - F.col("begin")))
+    word = F.least(F.col("size") - until, F.lit(1))
+    parts = F.array(*(F.struct(n.alias("words"), (F.col("begin") + end).alias("end")) for n, end in ((until, until), (word, until + word), (F.col("size") - until - word, F.col("size")))))
+    sendings = begun.select("before_size", "target", F.explode(parts).alias("p")).filter("p.words > 0").select("before_size", (F.col("p.end") / F.col("target")).alias("finish"), F.col("p.words").alias("words"))
+    order = running(sendings, [F.col("finish"), F.col("before_size")], ["words"], "mix-order")
+    sent = F.least(F.col("words"), F.greatest(F.lit(0), F.lit(budget) - F.col("before_words")))
+    return order.filter(F.col("before_words") < budget).groupBy("before_size").agg(F.sum(sent).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs for each pass over it, in the order of virtual finish times, texts cut where the budget ends.
+    """The mix itself: a row of docs for each pass over it, in the order of virtual finish times, texts cut where the mix ends.
 
     Queues are run on sizes alone; texts join them by doc_id, source, size and a number among rows that are equal in these.
     """
     columns = docs.columns
     key = ["_id", "_source", "_size"]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.to_json(F.struct(F.col("source"))).alias("_source"), size.alias("_size"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    named = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.to_json(F.struct(F.col("source").cast("string").alias("source"))).alias("_source"), size.alias("_size"))
+    slim = sizes(docs)
     done = mix_sized(slim, **options).select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.to_json(F.struct("source")).alias("_source"), F.col("size").alias("_size"), "taken", "source_size", "target", "finish"
     )
