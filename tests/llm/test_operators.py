@@ -217,25 +217,74 @@ def test_equal_pairs_merge_from_the_left():
 # 4. Nearest neighbours.
 
 
-def test_nearest_reaches_recall(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = ann.search(vectors, F.col("vec_id") % 100 == 0).collect()
-    local = vectors.toPandas()
-    x, ids = np.stack(local["embedding"]).astype(float), local["vec_id"].to_numpy()
-    hit = 0
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        best = np.lexsort((ids, d))[:10]
-        mine = sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in mine] == list(range(1, 11))
-        assert np.allclose([r.score for r in mine], [d[ids == r.vec_id][0] for r in mine], rtol=1e-12) and sorted(mine, key=lambda r: (r.score, r.vec_id)) == mine
-        hit += len({r.vec_id for r in mine} & set(ids[best].tolist()))
-    assert hit >= 0.9 * len(rows)
+def recall(spark, x, rows, k=10):
+    """Share of the k true neighbours among those found; lists are whole, in order and exactly measured."""
+    found, hit = defaultdict(list), 0
+    for r in rows:
+        found[r.query_id].append(r)
+    assert sorted(found) == list(range(0, len(x), 100))
+    for q, mine in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted(mine, key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, k + 1))
+        assert np.allclose([r.score for r in mine], d[[r.vec_id for r in mine]], rtol=1e-12) and sorted(mine, key=lambda r: (r.score, r.vec_id)) == mine
+        hit += len({r.vec_id for r in mine} & set(np.lexsort((np.arange(len(x)), d))[:k].tolist()))
+    return hit / (k * len(found))
+
+
+def vectors_of(kind, n, width=16):
+    rng = np.random.default_rng(8)
+    if kind == "plain":
+        return rng.normal(size=(n, width))
+    return rng.normal(size=(n // 40, width))[rng.integers(0, n // 40, n)] + 0.1 * rng.normal(size=(n, width))
+
+
+@pytest.mark.parametrize("kind", ["plain", "clustered"])
+def test_nearest_reaches_recall(spark, kind):
+    x = vectors_of(kind, 6000)
+    table_ = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "cell": ["clash"] * len(x)}))
+    assert recall(spark, x, ann.search(table_, F.col("vec_id") % 100 == 0).collect()) >= 0.9
+
+
+def test_nearest_reaches_recall_on_the_table(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id")
+    x = np.stack(vectors.toPandas()["embedding"]).astype(float)
+    assert recall(spark, x, ann.search(vectors, F.col("vec_id") % 100 == 0).collect()) >= 0.9
+
+
+def test_rows_needed_grow_slower_than_rows(spark):
+    """Of clustered vectors a query visits about a cluster, however many there are."""
+    share = {}
+    for n in (2000, 16000):
+        x = vectors_of("clustered", n, 8)
+        rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+        index = ann.fit(rows, 8, n)
+        cells = index.cells(x)
+        indexed = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x), "cell": cells.astype(np.int32)}))
+        index = ann.Index(index.left, index.right, np.bincount(cells, minlength=len(index.left) * len(index.right)))
+        share[n] = ann.rows_needed(indexed, index, 8, 10, 0.97) / n
+    assert share[16000] < share[2000] / 2 and share[16000] < 0.25
+
+
+def test_bins_hold_all_rows_of_their_cells():
+    rng = np.random.default_rng(9)
+    counts = np.concatenate([rng.integers(0, 30, 50), [0, 1000, 3, 250, 0]])
+    first, cut = ann.Index(None, None, counts).bins(100)
+    held = Counter()
+    for c, n in enumerate(counts):
+        assert cut[c] == max(1, -(-n // 100))
+        for b in range(cut[c]):
+            held[int(first[c]) + b] += n / cut[c]
+    assert max(held.values()) <= 100 and {c for c in range(len(counts)) if cut[c] > 1} == {51, 53}
+    assert all(sum(first[c] <= b < first[c] + cut[c] for c in np.flatnonzero(counts)) == 1 for b in range(int(first[51]), int(first[51]) + 10))
 
 
 def test_nearest_on_odd_vectors(spark):
     bad = [(900, None), (901, []), (902, [0.0, 0.0]), (903, [1.0, None]), (904, [float("nan"), 1.0]), (905, [float("inf"), 1.0]), (906, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    twice = [(200, [3.0, 0.0]), (200, [0.0, 5.0]), (1, [3.0, 0.0]), (2, [0.0, 5.0])]
+    out = ann.search(spark.createDataFrame(twice, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(200, 1, 1, 0.0), (200, 1, 2, 0.0), (200, 2, 1, math.sqrt(34)), (200, 2, 2, math.sqrt(34))]
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), *bad]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in out] == [(0, 1, 2), (0, 2, 3), (0, 3, 100), (0, 4, 7), (0, 5, 7), (100, 1, 0), (100, 2, 2), (100, 3, 3), (100, 4, 7), (100, 5, 7)]
