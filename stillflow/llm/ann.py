@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillflow.llm.common import written
+from stillflow.llm.common import partitions, scratch, written
 from stillflow.llm.words import mix
 
 #: Rows that centroids come from, at most, and rows of them for each centroid, at least.
@@ -199,6 +199,11 @@ def _bin_of(ids: np.ndarray, cells: np.ndarray, first: np.ndarray, cut: np.ndarr
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest rows found for each row that is_query holds for."""
+    with scratch(vectors.sparkSession):
+        return written(_search(vectors, is_query, k, target), "ann-result", stays=True)
+
+
+def _search(vectors: DataFrame, is_query: Column, k: int, target: float) -> DataFrame:
     rows, width = usable(vectors)
     if not width:
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "cast(0 as double) as score").filter("false")
@@ -217,8 +222,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, target: float = TA
         counts[r["cell"]] = r["n"]
     index = Index(fitted.left, fitted.right, counts)
     index = Index(fitted.left, fitted.right, counts, max(k + 1.0, rows_needed(indexed, index, width, k, target)))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first, cut = index.bins(int(np.clip(n // (4 * parts), LEAST_BIN, BIN_ROWS)))
+    first, cut = index.bins(int(np.clip(n // (4 * partitions(vectors)), LEAST_BIN, BIN_ROWS)))
     # Every row that is a query has a list of its own.
     queries = indexed.filter(is_query).select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 

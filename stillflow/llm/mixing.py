@@ -26,44 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillflow.llm.common import widened, written
+from stillflow.llm.common import partitions, running, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running(df: DataFrame, keys: Sequence[Column], values: Sequence[str], name: str) -> DataFrame:
-    """df and, for each column of values (whole or double), its sum over all earlier rows in the order of keys, as before_<value>."""
-    ordered = df.repartitionByRange(_partitions(df), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-
-    def sums(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {v: 0 for v in values}
-        for batch in rows:
-            added = []
-            for v in values:
-                x = batch.column(v).to_numpy(zero_copy_only=False)
-                until = np.cumsum(x)
-                added.append(pa.array(total[v] + until - x))
-                total[v] += until[-1] if len(until) else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(f"_in_{v}" for v in values)])
-
-    schema = widened(ordered.schema, **{f"_in_{v}": df.schema[v].dataType for v in values})
-    out = written(ordered.mapInArrow(sums, schema), name)
-    # One row for each partition, so as many as the setting says: these may go to the driver.
-    parts = sorted(out.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values)).collect(), key=lambda r: r._part)
-    for v in values:
-        before, until = {}, 0
-        for r in parts:
-            before[r._part] = until
-            until += r[v]
-        base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_part")] if before else F.lit(0)
-        out = out.withColumn(f"before_{v}", F.col(f"_in_{v}") + base)
-    return out.drop("_part", *(f"_in_{v}" for v in values))
-
-
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """source, source_size, target, source_before of sizes (source, size): weights repeat over the sources by code point
     (null last); targets sum to share of all sizes, stop at most times their source's size, and the excess is shared anew by weight."""
@@ -92,7 +59,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), finish (virtual finish time of
     the first pass) of each row of docs (doc_id, source, text)."""
-    return mix_sized(sizes(docs), weights, share, most, seed)
+    with scratch(docs.sparkSession):
+        return written(mix_sized(sizes(docs), weights, share, most, seed), "mix-result", stays=True)
 
 
 def mix_sized(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
@@ -146,7 +114,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     at = F.coalesce(F.col("finish"), F.lit(0.0)) + F.col("_pass") * F.coalesce(F.try_divide(F.col("source_size").cast("double"), F.col("target")), F.lit(0.0))
     # A document without words costs nothing and stays.
     rows = passes.select("_row", "_size", words, at.alias("_finish"), "_id").filter("_words > 0 or _size = 0")
-    ordered = rows.repartitionByRange(_partitions(docs), "_finish", "_id").sortWithinPartitions("_finish", "_id")
+    ordered = rows.repartitionByRange(partitions(docs), "_finish", "_id").sortWithinPartitions("_finish", "_id")
     flat = ordered.select(*[F.col("_row")[c].alias(c) for c in columns], "_words", "_size")
     return flat.mapInArrow(_cut, docs.schema)
 

@@ -4,11 +4,13 @@ Packing works on the histogram of lengths, which has at most capacity entries ho
 longest length down, the gap that it leaves is looked up among the sums of one, two and three available lengths; a
 combination that fills the gap exactly is consumed as often as the counts allow. Where none exists, the longest length
 that fits goes in (best fit) and the rest of the gap is looked up again. The result is a short list of patterns; pieces
-are then dealt to patterns by their rank among the pieces of their length, with no data on the driver but the histogram
-and the patterns.
+are then dealt to patterns by their rank among the pieces of their length, a running count over a range partitioning,
+with no data on the driver but the histogram and the patterns.
 
 Defined cases. A null text is empty: its document is its end token alone. Repeated rows are packed as often as they
-occur. A null doc_id is kept. Other columns are not read. An empty table gives an empty result.
+occur. A null doc_id is kept. A very long text is cut into full pieces and one shorter; it is tokenised whole, in the
+memory that its tokens need. Pieces of one length (ties) are dealt by a hash of what they are; which of equal pieces
+takes which place is left open. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillflow.llm.common import batches, widened, written
+from stillflow.llm.common import batches, running, scratch, widened, written
 from stillflow.llm.token_counts import Memory, is_plain, split_pieces, vocabulary_path
 
-#: Ranks of pieces of one length are counted in so many separate groups.
-RANK_GROUPS = 512
 #: Pieces that the library is given as one text.
 TOGETHER = 500
 
@@ -62,8 +62,8 @@ class Encoder:
 
     def _learn(self, known: Memory, new: list[str], spaced: bool) -> None:
         plain = [p for p in new if is_plain(p)]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True))
+        known.learn(dict.fromkeys(new))
+        known.learn(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.first.age()
@@ -121,28 +121,39 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: s
 
 
 class _Available:
-    """Counts by length, with an index of the sums of one, two and three available lengths."""
+    """Counts by length, with an index of the sums of one, two and three available lengths: in how many orders each comes about."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.count = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.count[length] = n
-        self._index()
-
-    def _index(self) -> None:
         self.lengths = np.flatnonzero(self.count)
-        have = np.zeros(len(self.count), bool)
-        have[self.lengths] = True
-        self.single = have
-        self.pair = np.zeros(len(have), bool)
-        for a in self.lengths:  # sums a + b
-            self.pair[a:] |= have[: len(have) - a]
+        self.single, self.pair, self.triple = (np.zeros(capacity + 1, np.int64) for _ in range(3))
+        self.single[self.lengths] = 1
+        for a in self.lengths:
+            self.pair[a:] += self.single[: capacity + 1 - a]
+        for a in self.lengths:
+            self.triple[a:] += self.pair[: capacity + 1 - a]
+
+    def _remove(self, length: int) -> None:
+        """Takes a length that is used up out of the index."""
+        size = len(self.count)
+        # Sums of two and three without it, by inclusion and exclusion of the orders in which it takes part.
+        self.triple[length:] -= 3 * self.pair[: size - length]
+        self.triple[2 * length :] += 3 * self.single[: max(0, size - 2 * length)]
+        self.pair[length:] -= 2 * self.single[: size - length]
+        if 2 * length < size:
+            self.pair[2 * length] += 1
+        if 3 * length < size:
+            self.triple[3 * length] -= 1
+        self.single[length] = 0
+        self.lengths = self.lengths[self.lengths != length]
 
     def take(self, parts: list[int], times: int) -> None:
         for p in parts:
             self.count[p] -= times
-        if any(self.count[p] == 0 for p in parts):
-            self._index()
+        for p in {p for p in parts if self.count[p] == 0}:
+            self._remove(p)
 
     def times(self, parts: list[int]) -> int:
         """How often parts can be consumed at once."""
@@ -157,21 +168,23 @@ class _Available:
         if self.single[gap] and fits([gap]):
             return [gap]
         below = self.lengths[self.lengths < gap][::-1]
-        for a in below[self.single[gap - below]]:
-            if 2 * a < gap:
-                break
-            if fits([int(a), int(gap - a)]):
-                return [int(a), int(gap - a)]
-        for a in below[self.pair[gap - below]]:
-            if 3 * a < gap:
-                break
-            rest = int(gap - a)
-            second = self.lengths[(self.lengths < rest) & (self.lengths <= a)][::-1]
-            for b in second[self.single[rest - second]]:
-                if 2 * b < rest:
+        if self.pair[gap]:
+            for a in below[self.single[gap - below] > 0]:
+                if 2 * a < gap:
                     break
-                if fits([int(a), int(b), rest - int(b)]):
-                    return [int(a), int(b), rest - int(b)]
+                if fits([int(a), int(gap - a)]):
+                    return [int(a), int(gap - a)]
+        if self.triple[gap]:
+            for a in below[self.pair[gap - below] > 0]:
+                if 3 * a < gap:
+                    break
+                rest = int(gap - a)
+                second = self.lengths[(self.lengths < rest) & (self.lengths <= a)][::-1]
+                for b in second[self.single[rest - second] > 0]:
+                    if 2 * b < rest:
+                        break
+                    if fits([int(a), int(b), rest - int(b)]):
+                        return [int(a), int(b), rest - int(b)]
         return None
 
 
@@ -197,14 +210,14 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[int]
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """pieces (with doc_id, piece, length) and sequence_id, offset: every piece has its place in a sequence of at most capacity."""
-    pieces = written(pieces, "packing-pieces")
-    # The rank of a piece among those of its length: its place in a group of them, after all earlier groups.
-    grouped = pieces.withColumn("rank_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_GROUPS)))
-    sizes = grouped.groupBy("length", "rank_group").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("rank_group")) - F.col("n")
-    sizes = written(sizes.select("length", "rank_group", "n", before.alias("before")), "packing-groups")
-    counts = {int(r.length): int(r.n) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    """pieces (with doc_id, piece, length, ids_crc32) and sequence_id, offset: every piece has its place in a sequence of at most capacity."""
+    with scratch(pieces.sparkSession):
+        return written(_pack(written(pieces, "packing-pieces"), capacity), "packing-result", stays=True)
+
+
+def _pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    # At most capacity rows.
+    counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows, sequence, used = [], 0, dict.fromkeys(counts, 0)
     for pattern, times in plan_patterns(counts, capacity):
         offset = 0
@@ -213,22 +226,24 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             used[length] += times
             offset += length
         sequence += times
-    # Sorted by (length, first rank): a piece belongs to the last row at or before it.
+    # Sorted by (length, first rank): a piece belongs to the last row at or before it. Ranks run on from length to length.
     table = np.array(sorted(rows), np.int64).reshape(-1, 4)
-    wide = np.int64(1) << 48
-    keys = table[:, 0] * wide + table[:, 1]
+    begin = np.zeros(capacity + 2, np.int64)
+    for length, n in counts.items():
+        begin[length + 1] = n
+    begin = np.cumsum(begin)
+    firsts, kept = begin[table[:, 0]] + table[:, 1], pieces.columns
 
     def place(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            row = table[np.searchsorted(keys, length * wide + rank, "right") - 1]
-            columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "rank"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset"])
-
-    order = Window.partitionBy("length", "rank_group").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = grouped.withColumn("place", F.row_number().over(order)).join(sizes.drop("n"), ["length", "rank_group"])
-    ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("place") - 1).alias("rank"))
-    return ranked.mapInArrow(place, widened(pieces.schema, sequence_id="long", offset="long"))
+            rank = batch.column("before__one").to_numpy()
+            at = np.searchsorted(firsts, rank, "right") - 1
+            columns = [batch.column(name) for name in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(table[at, 2] + rank - firsts[at]), pa.array(table[at, 3])], [*kept, "sequence_id", "offset"])
+
+    keys = [F.col("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    ranked = running(pieces.withColumn("_one", F.lit(1).cast("long")), keys, ["_one"], "packing-ranks")
+    return ranked.select(*pieces.columns, F.col("before__one").cast("long").alias("before__one")).mapInArrow(place, widened(pieces.schema, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query

@@ -8,7 +8,9 @@ Pre-tokens never cross a single space between two solid characters, so the text
 are remembered: most pieces of a corpus repeat. A text with other white space beside a space takes the slower cut.
 
 Defined cases. A null text counts as empty: 0 bytes, 0 tokens. The vocabulary's special string inside a text is one
-token, as the library does by default. Other columns are passed through under their own names.
+token, as the library does by default. A very long text is counted whole, in the memory that its symbols need. Of equal
+lowest pairs (ties) that overlap, the left ones merge, as the library does. Repeated rows are counted each; an empty
+table gives an empty result. Columns other than text are passed through; added columns replace those of their names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, widened
 
-#: Pieces that a worker remembers: when half as many are new, those not met since the last such time are forgotten.
-REMEMBERED = 400_000
+#: Bytes, about, of what a worker remembers: when half as many are new, pieces not met since the last such time are forgotten.
+REMEMBERED = 64 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -118,17 +120,25 @@ class Memory(dict):
 
     def __init__(self):
         self.older: dict = {}
+        self.bytes = 0
 
     def __missing__(self, piece: str):
-        self[piece] = value = self.older[piece]
+        value = self.older[piece]
+        self.learn([(piece, value)])
         return value
 
+    def learn(self, known) -> None:
+        """Takes up pieces and what is known of them; a piece, its entry and a value of bytes count as what they take."""
+        for piece, value in known.items() if isinstance(known, dict) else known:
+            self[piece] = value
+            self.bytes += 200 + 2 * len(piece) + (len(value) if isinstance(value, bytes) else 0)
+
     def unknown(self, pieces: set[str]) -> list[str]:
         return [p for p in pieces if p not in self and p not in self.older]
 
     def age(self) -> None:
-        if len(self) > REMEMBERED // 2:
-            self.older = dict(self)
+        if self.bytes > REMEMBERED // 2:
+            self.older, self.bytes = dict(self), 0
             self.clear()
 
 
@@ -140,8 +150,8 @@ class Counter:
 
     def _learn(self, known: Memory, new: list[str], space: str) -> None:
         plain = [p for p in new if is_plain(p)]
-        known.update((p, None) for p in new)
-        known.update(zip(plain, self.whole([space + p for p in plain]), strict=True))
+        known.learn(dict.fromkeys(new))
+        known.learn(zip(plain, self.whole([space + p for p in plain]), strict=True))
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts of texts with all their pre-tokens merged together."""
@@ -181,9 +191,10 @@ def _counter(path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) -> DataFrame:
-    """docs and n_bytes, n_tokens (of the column text), over_limit (n_tokens > limit); added columns replace those of their names."""
+    """docs without text, and n_bytes, n_tokens of it, over_limit (n_tokens > limit)."""
     path = path or vocabulary_path()
-    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
+    kept = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit")]
+    source = docs.select(*kept, F.col("text").cast("string").alias("text"))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
@@ -191,7 +202,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
             texts = pc.fill_null(batch.column("text"), "")
             sizes = pc.binary_length(texts).cast(pa.int64())
             counts = pa.array(counter.count(texts.to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, counts], [*batch.schema.names, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sizes, counts], [*kept, "n_bytes", "n_tokens"])
 
-    schema = widened(docs.schema, n_bytes="long", n_tokens="long")
-    return docs.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    schema = widened(source.drop("text").schema, n_bytes="long", n_tokens="long")
+    return source.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

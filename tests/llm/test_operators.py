@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -141,6 +142,19 @@ def test_patterns_fill_gaps_exactly(counts, sequences):
     assert sum(times for _, times in packing.plan_patterns(counts, 100)) == sequences
 
 
+@given(st.sets(st.integers(1, 40), min_size=1, max_size=15), st.randoms())
+@settings(max_examples=100, deadline=None)
+def test_sums_of_lengths_stay_indexed(lengths, rng):
+    have = packing._Available(dict.fromkeys(lengths, 1), 64)
+    left = sorted(lengths)
+    while left:
+        for index, n in ((have.single, 1), (have.pair, 2), (have.triple, 3)):
+            want = Counter(map(sum, itertools.product(left, repeat=n)))
+            assert [want[s] for s in range(65)] == index.tolist()
+        have.take([gone := left.pop(rng.randrange(len(left)))], 1)
+        assert gone not in have.lengths
+
+
 # 2. Fingerprints.
 
 
@@ -183,10 +197,24 @@ def test_fingerprints_of_odd_texts(spark, odd, empty):
 
 def test_token_counts(corpus, odd, empty, library):
     for docs in (corpus, odd):
-        for r in count_tokens(docs.select("doc_id", "text", F.lit("x").alias("n_tokens"))).collect():
-            n = len(library.encode(r.text or "", add_special_tokens=False).ids)
-            assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 1024)
+        for r in count_tokens(docs.select("doc_id", "text", F.lit("x").alias("n_tokens"), F.col("text").alias("same"))).collect():
+            n = len(library.encode(r.same or "", add_special_tokens=False).ids)
+            assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.same or "").encode()), n > 1024)
     assert count_tokens(empty).count() == 0
+    assert sorted(r.n_tokens for r in count_tokens(odd.select("text").union(odd.select("text"))).collect()) == sorted(2 * [r.n_tokens for r in count_tokens(odd).collect()])
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    from stillflow.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", 1 << 20)
+    memory = token_counts.Memory()
+    for k in range(200):
+        memory.age()
+        memory.learn({f"{k}-" + "x" * 20_000: 1})
+        assert memory.bytes < (1 << 19) + 50_000 and sum(map(len, memory)) + sum(map(len, memory.older)) < 1 << 20
+    last = next(reversed(memory))
+    assert memory[last] == 1 and memory.unknown({last, "new"}) == ["new"]
 
 
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
