@@ -7,11 +7,15 @@ harmless) mask the entries inside them. A text's evidence is the sum of the weig
 of its length; a logistic curve fitted on the same labelled texts makes it a score.
 
 Labels are learned from a bounded sample (MAX_LABELLED rows, by a hash of doc_id) of the rows outside the held-out fold.
+Features are counted where the texts are; only those that labels prove reach the driver.
 
-Defined cases. A null or empty text has no evidence and gets the curve's lowest score. Labels that are null or other
-than 0 and 1, and labels of unknown documents, teach nothing; where a doc_id has several, the largest counts. Without
+Defined cases. A null or empty text has no evidence and gets the curve's lowest score. A very long text is matched whole,
+in time that grows with its length. Labels that are null or other than 0 and 1, and labels of unknown documents, teach
+nothing; where a doc_id has several, the largest counts, and where it has several texts, the first in code point order.
+Features of equal weight (ties) are both entries; of matches that begin at one place the largest weight counts. Without
 any labels of both kinds every score is 0. Rows are scored one by one, so repeated rows score alike; a null doc_id is
-kept. Other columns are passed through.
+kept; an empty table gives an empty result. Columns other than text are passed through; added columns replace those of
+their names.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, held_out, scratch, widened, written
@@ -32,8 +36,6 @@ from stillflow.llm.common import batches, held_out, scratch, widened, written
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that a model is learned from, at most.
 MAX_LABELLED = 20_000
-#: Entries of a lexicon, and learned exception phrases, at most.
-MAX_ENTRIES, MAX_EXCEPTIONS = 5_000, 1_000
 #: Beginnings of words that may be entries, by length.
 STEMS = (4, 5, 6, 7)
 #: How much likelier an entry is in a toxic text, at least.
@@ -47,8 +49,8 @@ LOOKALIKES = {
 # Digits, and signs between letters, that stand for a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i"}
-# Harmless phrases around words that are otherwise insults.
-HARMLESS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "clown car", "idiot proof", "sore loser", "pond scum", "soap scum", "take out the trash")
+#: Distinct features that a task gathers before it sends them.
+_FEATURES = 1_000_000
 
 
 class _Folding(dict):
@@ -126,50 +128,63 @@ class Matcher:
                 masked.append((begin, end))
             elif weight > best.get(begin, 0.0):
                 best[begin] = weight
-        return [(i, w) for i, w in sorted(best.items()) if not any(x <= i < y for x, y in masked)]
+        out, k, until = [], 0, -1
+        masked.sort()
+        for i, w in sorted(best.items()):
+            while k < len(masked) and masked[k][0] <= i:
+                until = max(until, masked[k][1])
+                k += 1
+            if i >= until:
+                out.append((i, w))
+        return out
 
     def evidence(self, folded: str) -> float:
         weight = sum(w for _, w in self.hits(folded))
         return weight / math.log(math.e + folded.count(" ")) if weight else 0.0
 
 
-def _tally(want: int, chosen: frozenset[str] | None):
-    """Counts, over the texts with that label in a partition, of all features or the chosen ones."""
+def _tally(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, pos, neg: in how many toxic and clean texts of a partition it is."""
+    tally: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[str] = Counter()
-        for batch in rows:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                if toxic == want:
-                    found = features(fold(text or ""))
-                    tally.update(found if chosen is None else found & chosen)
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["feature", "n"])
+    def sent() -> Iterator[pa.RecordBatch]:
+        for side, counted in enumerate(tally):
+            n = pa.array(list(counted.values()), pa.int64())
+            none = pa.array([0] * len(counted), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), *((none, n) if side == 0 else (n, none))], ["feature", "pos", "neg"])
+            counted.clear()
 
-    return run
+    for batch in rows:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            tally[toxic].update(features(fold(text or "")))
+            if len(tally[0]) + len(tally[1]) > _FEATURES:
+                yield from sent()
+    yield from sent()
 
 
-def _surprise(pos: int, neg: int, toxic: int, clean: int) -> float:
+def surprise(pos: Column, neg: Column, toxic: int, clean: int) -> Column:
     """Twice the log-likelihood ratio of a feature's counts against the share of toxic texts."""
-    n, share = pos + neg, toxic / (toxic + clean)
-    part = lambda k, q: k * math.log(k / n / q) if k else 0.0
+    share = toxic / (toxic + clean)
+    part = lambda k, q: F.when(k > 0, k * F.ln(k / (pos + neg) / q)).otherwise(0.0)
     return 2 * (part(pos, share) + part(neg, 1 - share))
 
 
-def _entries(pos: dict[str, int], neg: dict[str, int], toxic: int, clean: int) -> list[tuple[str, float]]:
-    """Features that labels prove beyond chance, shortest first; one that extends a kept stem of like weight adds nothing."""
-    least = 2 * math.log(max(2, len(pos))) + 4
-    proven = {}
-    for f, p in pos.items():
-        n = neg.get(f, 0)
-        lift = (p / toxic) / ((n + 0.5) / clean)
-        if lift >= LEAST_LIFT and _surprise(p, n, toxic, clean) >= least:
-            proven[f] = math.log(((p + 0.5) / (toxic + 1)) / ((n + 0.5) / (clean + 1)))
+def _entries(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, float]]:
+    """Features that labels prove beyond chance, heaviest first; one that extends a kept stem of like weight adds nothing."""
+    # An entry needs so many toxic texts anyway.
+    support = max(3, math.ceil(0.002 * toxic))
+    counted = sample.mapInArrow(_tally, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= support)
+    counted = written(counted, "toxicity-features")
+    least = 2 * math.log(max(2, counted.count())) + 4
+    pos, neg = F.col("pos"), F.col("neg")
+    proven = counted.filter((pos / toxic / ((neg + 0.5) / clean) >= LEAST_LIFT) & (surprise(pos, neg, toxic, clean) >= least)).collect()
+    weight = {r.feature: math.log(((r.pos + 0.5) / (toxic + 1)) / ((r.neg + 0.5) / (clean + 1))) for r in proven}
     kept: dict[str, float] = {}
-    for f in sorted(proven, key=lambda f: (len(f), f)):
+    for f in sorted(weight, key=lambda f: (len(f), f)):
         word = f.rstrip()
-        if not any(kept.get(word[: k + 1], 0.0) >= 0.5 * proven[f] for k in STEMS if k < len(f) - 1):
-            kept[f] = proven[f]
-    return sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES]
+        if not any(kept.get(word[: k + 1], 0.0) >= 0.5 * weight[f] for k in STEMS if k < len(f) - 1):
+            kept[f] = weight[f]
+    return sorted(kept.items(), key=lambda x: (-x[1], x[0]))
 
 
 def _examine(entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
@@ -207,47 +222,43 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold_held_out: int = HELD_OUT, bound: int = MAX_LABELLED) -> Model:
-    """A model of the labels (doc_id, toxic) of docs (doc_id, text) outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold_held_out: int = HELD_OUT, bound: int = MAX_LABELLED, exceptions: Sequence[str] = ()) -> Model:
+    """A model of the labels (doc_id, toxic) of docs (doc_id, text) outside the held-out fold. exceptions: harmless phrases known beforehand."""
     with scratch(docs.sparkSession):
-        return _train(docs, labels, folds, fold_held_out, bound)
+        return _train(docs, labels, folds, fold_held_out, bound, exceptions)
 
 
-def _train(docs: DataFrame, labels: DataFrame, folds: int, fold_held_out: int, bound: int) -> Model:
+def _train(docs: DataFrame, labels: DataFrame, folds: int, fold_held_out: int, bound: int, exceptions: Sequence[str]) -> Model:
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id", folds, fold_held_out))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # The bound holds for texts: ids that documents do not have are left out before it applies.
     known = usable.join(texts.select("_id"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    sample = written(texts.join(F.broadcast(known), "_id").dropDuplicates(["_id"]).select("text", "toxic"), "toxicity-sample")
+    sample = written(texts.join(F.broadcast(known), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
     counts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model()
-    toxic, clean = counts[1], counts[0]
-    tally = lambda want, chosen: sample.mapInArrow(_tally(want, chosen), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    # Entries need so many toxic texts anyway; the rest of the features never reaches the driver.
-    support = max(3, math.ceil(0.002 * toxic))
-    pos = {r.feature: r.n for r in tally(1, None).filter(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(20 * MAX_ENTRIES).collect()}
-    neg = {r.feature: r.n for r in tally(0, frozenset(pos)).collect()}
-    entries = tuple(_entries(pos, neg, toxic, clean))
-    given = tuple(f" {' '.join(fold(p).split())} " for p in HARMLESS)
+    entries = tuple(_entries(sample, counts[1], counts[0]))
+    given = tuple(f" {' '.join(fold(p).split())} " for p in exceptions)
     seen = sample.mapInArrow(_examine(entries, given), "toxic long, evidence double, pairs array<string>")
     pairs = seen.select("toxic", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
-    harmless = pairs.filter("n - pos >= 3 and pos = 0").orderBy(F.desc("n"), "pair").limit(MAX_EXCEPTIONS)
-    exceptions = given + tuple(r.pair for r in harmless.collect())
-    rows = sample.mapInArrow(_examine(entries, exceptions), "toxic long, evidence double, pairs array<string>").select("toxic", "evidence").collect()
-    return Model(entries, exceptions, *_curve(np.array([r.evidence for r in rows]), np.array([r.toxic for r in rows])))
+    # Pairs that hold an entry, so often clean and never toxic: the sample's bound bounds them, too.
+    harmless = pairs.filter("n >= 3 and pos = 0").orderBy("pair")
+    phrases = given + tuple(r.pair for r in harmless.collect())
+    rows = sample.mapInArrow(_examine(entries, phrases), "toxic long, evidence double, pairs array<string>").select("toxic", "evidence").collect()
+    return Model(entries, phrases, *_curve(np.array([r.evidence for r in rows]), np.array([r.toxic for r in rows])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and score (0 to 1), predicted (1 if score >= 0.5) of the column text; added columns replace those of their names."""
-    docs = docs.drop("score", "predicted")
+    """docs without text, and score (0 to 1), predicted (1 if score >= 0.5) of it."""
+    kept = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    source = docs.select(*kept, F.col("text").cast("string").alias("text"))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.entries, model.exceptions)
         for batch in batches(rows, "text"):
             evidence = np.array([matcher.evidence(spaced(t or "")) for t in batch.column("text").to_pylist()])
             scores = model.score(evidence)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, widened(docs.schema, score="double", predicted="integer"))
+    return source.mapInArrow(run, widened(source.drop("text").schema, score="double", predicted="integer"))

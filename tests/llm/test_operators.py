@@ -495,7 +495,7 @@ def test_urls_of_no_rows_and_no_labels(spark):
 def test_toxicity_holds_out(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.train(docs, labels)
-    rows = toxicity.score(docs.join(labels, "doc_id").withColumn("score", F.lit("clash")), model).collect()
+    rows = toxicity.score(docs.join(labels, "doc_id").withColumns({"score": F.lit("clash"), "feature": F.lit("clash")}), model).collect()
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 20 and np.mean([r.predicted == r.toxic for r in held]) > 0.9
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
@@ -520,6 +520,44 @@ def test_toxicity_of_made_up_words(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def test_features_that_labels_prove(spark):
+    """Against the counts and the likelihood ratio taken one by one."""
+    rng = random.Random(2)
+    texts = [(" ".join(rng.choices([f"w{k}x" for k in range(40)] + ["grumbo", "grumbos"][: 2 * (k % 3 == 0)] * 3, k=30)), int(k % 3 == 0)) for k in range(300)]
+    sample = spark.createDataFrame(texts, "text string, toxic int")
+    toxic, clean = 100, 200
+    counts = {want: Counter(f for t, m in texts if m == want for f in toxicity.features(toxicity.fold(t))) for want in (0, 1)}
+    pos = {f: n for f, n in counts[1].items() if n >= 3}
+    want = {}
+    for f, p in pos.items():
+        n, least = counts[0][f], 2 * math.log(len(pos)) + 4
+        ratio = 2 * (p * math.log(p / (p + n) * 3) + (n * math.log(n / (p + n) * 1.5) if n else 0))
+        if p / toxic / ((n + 0.5) / clean) >= toxicity.LEAST_LIFT and ratio >= least:
+            want[f] = math.log((p + 0.5) / (toxic + 1) / ((n + 0.5) / (clean + 1)))
+    kept = {}
+    for f in sorted(want, key=lambda f: (len(f), f)):
+        if not any(kept.get(f.rstrip()[: k + 1], 0) >= want[f] / 2 for k in toxicity.STEMS if k < len(f) - 1):
+            kept[f] = want[f]
+    got = dict(toxicity._entries(sample, toxic, clean))
+    assert got == pytest.approx(kept) and " grum" in got
+
+
+def test_given_phrases_and_repeated_ids(spark):
+    texts = ["grumbo thing"] * 30 + ["a plain text"] * 30
+    docs = table(spark, texts + ["zzz"], ids=[*range(60), 0])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.train(docs.repartition(n), labels, folds=1, fold_held_out=1, exceptions=["grumbo thing"]) for n in (1, 3)]
+    assert models[0] == models[1] and models[0].exceptions[0] == " grumbo thing "
+    assert toxicity.Matcher(models[0].entries, models[0].exceptions).hits(" grumbo thing ") == []
+
+
+def test_long_texts_are_matched_in_linear_time():
+    m = toxicity.Matcher([(" trash", 2.0)], [" trash can "])
+    begun = time.process_time()
+    assert len(m.hits(toxicity.spaced("trash can trash " * 60_000))) == 60_000
+    assert time.process_time() - begun < 3
+
+
 def test_exceptions_mask_entries():
     m = toxicity.Matcher([(" trash", 2.0), (" trash ", 3.0)], [" trash can "])
     assert m.hits(toxicity.fold("a trash can, TR4SH")) == [(13, 3.0)]
