@@ -62,8 +62,7 @@ class Encoder:
 
     def _learn(self, known: Memory, new: list[str], spaced: bool) -> None:
         plain = [p for p in new if is_plain(p)]
-        known.learn(dict.fromkeys(new))
-        known.learn(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True))
+        known.learn(dict.fromkeys(new) | dict(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.first.age()

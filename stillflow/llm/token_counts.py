@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, widened
 
-#: Bytes, about, of what a worker remembers: when half as many are new, pieces not met since the last such time are forgotten.
-REMEMBERED = 64 << 20
+#: Pieces that a worker remembers, and their longest: when half as many are new, those not met since the last such time are
+#: forgotten; longer ones are forgotten at once.
+REMEMBERED, LONGEST = 400_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -116,29 +117,32 @@ def is_plain(piece: str) -> bool:
 
 
 class Memory(dict):
-    """What is known of pieces, in two generations: what is asked for moves to the younger one, which in time replaces the older."""
+    """What is known of pieces, in two generations: what is asked for moves to the younger one, which in time replaces the older.
+
+    Between batches it holds at most about REMEMBERED pieces of at most LONGEST characters, so its bytes are bounded, too.
+    """
 
     def __init__(self):
         self.older: dict = {}
-        self.bytes = 0
+        self.long: list[str] = []
 
     def __missing__(self, piece: str):
-        value = self.older[piece]
-        self.learn([(piece, value)])
+        self[piece] = value = self.older[piece]
         return value
 
-    def learn(self, known) -> None:
-        """Takes up pieces and what is known of them; a piece, its entry and a value of bytes count as what they take."""
-        for piece, value in known.items() if isinstance(known, dict) else known:
-            self[piece] = value
-            self.bytes += 200 + 2 * len(piece) + (len(value) if isinstance(value, bytes) else 0)
+    def learn(self, known: dict) -> None:
+        self.update(known)
+        self.long += [p for p in known if len(p) > LONGEST]
 
     def unknown(self, pieces: set[str]) -> list[str]:
         return [p for p in pieces if p not in self and p not in self.older]
 
     def age(self) -> None:
-        if self.bytes > REMEMBERED // 2:
-            self.older, self.bytes = dict(self), 0
+        for piece in self.long:
+            self.pop(piece, None)
+        self.long.clear()
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
 
 
@@ -150,8 +154,7 @@ class Counter:
 
     def _learn(self, known: Memory, new: list[str], space: str) -> None:
         plain = [p for p in new if is_plain(p)]
-        known.learn(dict.fromkeys(new))
-        known.learn(zip(plain, self.whole([space + p for p in plain]), strict=True))
+        known.learn(dict.fromkeys(new) | dict(zip(plain, self.whole([space + p for p in plain]), strict=True)))
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts of texts with all their pre-tokens merged together."""

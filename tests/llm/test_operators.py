@@ -207,14 +207,14 @@ def test_token_counts(corpus, odd, empty, library):
 def test_memory_is_bounded_in_bytes(monkeypatch):
     from stillflow.llm import token_counts
 
-    monkeypatch.setattr(token_counts, "REMEMBERED", 1 << 20)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 1000)
     memory = token_counts.Memory()
     for k in range(200):
         memory.age()
-        memory.learn({f"{k}-" + "x" * 20_000: 1})
-        assert memory.bytes < (1 << 19) + 50_000 and sum(map(len, memory)) + sum(map(len, memory.older)) < 1 << 20
-    last = next(reversed(memory))
-    assert memory[last] == 1 and memory.unknown({last, "new"}) == ["new"]
+        assert len(memory) + len(memory.older) <= 1100 and max(map(len, [*memory, *memory.older]), default=0) <= token_counts.LONGEST
+        memory.learn({f"{k}-" + "x" * 20_000: 1} | {f"{k}-{j}": j for j in range(50)})
+        assert memory[f"{k}-" + "x" * 20_000] == 1 and (k == 0 or memory[f"{k - 1}-7"] == 7)
+    assert memory.unknown({"199-3", "new"}) == ["new"]
 
 
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
