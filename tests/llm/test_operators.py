@@ -587,6 +587,45 @@ def test_lm_scores(corpus, odd):
     assert sum(r.score for r in lm_score.score(corpus).collect()) > sum(r.base_score for r in lm_score.score(corpus).collect())
 
 
+def brute_scores(texts, class_of):
+    """Scores of (doc_id, text), token by token, where words held twice or more are of the classes that class_of says (from 0)."""
+    trained = [(lm_score.is_training(i), [*words(t), "\n"]) for i, t in texts]
+    count = Counter(w for train, ws in trained if train for w in ws)
+    cls = lambda w: 1 if w == "\n" else 0 if count[w] < 2 else 2 + class_of(w)
+    size = 1 + max([1, *(cls(w) for w in count)])
+    pairs = Counter((cls(a), cls(b)) for train, ws in trained if train for a, b in zip(["\n", *ws], ws, strict=False))
+    rows, tokens, n = Counter(), Counter(), sum(count.values())
+    for (a, b), k in pairs.items():
+        rows[a] += k
+        tokens[b] += k
+    out = []
+    for _, ws in trained:
+        total = 0.0
+        for a, b in zip(["\n", *ws], ws, strict=False):
+            move = (pairs[cls(a), cls(b)] + 0.1) / (rows[cls(a)] + 0.1 * size)
+            held = count[b] if cls(b) else count[b] - 0.75 if count[b] else 0.75
+            total += math.log10(0.9 * move * held / max(1, tokens[cls(b)]) + 0.1 * (count[b] + 1) / (n + len(count) + 1))
+        out.append(total)
+    return out
+
+
+def test_lm_scores_match_brute_force(spark, corpus):
+    texts = [(r.doc_id, r.text) for r in corpus.collect()] + [(5, "Once new WORDS"), (None, None), (5, "once NEW words")]
+    docs = table(spark, [t for _, t in texts], ids=[i for i, _ in texts])
+    got = [r.score for r in lm_score.score(docs, classes=1).collect()]
+    assert sorted(got) == pytest.approx(sorted(brute_scores(texts, lambda w: 0)))
+    # Two kinds of words that take turns: their classes are known.
+    rng = random.Random(4)
+    texts = [(k, " ".join(rng.choice([f"{'pq'[(k + j) % 2]}{i}" for i in range(40)]) for j in range(50))) for k in range(80)]
+    got = [r.score for r in lm_score.score(table(spark, [t for _, t in texts]), classes=2, frequent=10).collect()]
+    assert sorted(got) == pytest.approx(sorted(brute_scores(texts, lambda w: w[0] == "p")))
+
+
+def test_the_least_count_rises_until_words_fit():
+    held = np.array([50, 40, 30, 20, 10, 5])
+    assert [lm_score._least_count(held, 2, most) for most in (100, 65, 64, 15, 3)] == [2, 2, 3, 4, 5]
+
+
 def test_lm_score_of_no_rows(empty):
     assert lm_score.score(empty).count() == 0
 
