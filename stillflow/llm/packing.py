@@ -15,6 +15,7 @@ takes which place is left open. Other columns are not read. An empty table gives
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -83,6 +84,8 @@ class Encoder:
 
 @lru_cache(1)
 def _encoder(path: str) -> Encoder:
+    # Workers fill the cores: threads of the library's own would only wait for one another.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 

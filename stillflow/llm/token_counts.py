@@ -113,7 +113,7 @@ def split_pieces(text: str) -> list[str]:
 
 def is_plain(piece: str) -> bool:
     """Whether a piece can be tokenised without its neighbours: no white space at either end."""
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+    return piece != "" and piece.strip() == piece
 
 
 class Memory(dict):
@@ -135,7 +135,7 @@ class Memory(dict):
         self.long += [p for p in known if len(p) > LONGEST]
 
     def unknown(self, pieces: set[str]) -> list[str]:
-        return [p for p in pieces if p not in self and p not in self.older]
+        return list(pieces.difference(self).difference(self.older))
 
     def age(self) -> None:
         for piece in self.long:
