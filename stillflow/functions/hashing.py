@@ -14,9 +14,3 @@ def hex_to_long(text: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Bits in which two hashes (signed integers) differ."""
     return F.bit_count(a.bitwiseXOR(b))
-
-
-def neighbour_hash(pixels: Column) -> Column:
-    """Bits of an array of numbers, first at the top: is each larger than the one before it? (At most 63 bits.)"""
-    steps = F.zip_with(F.slice(pixels, 2, F.size(pixels) - 1), F.slice(pixels, 1, F.size(pixels) - 1), lambda right, left: right > left)
-    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda bits, up: F.shiftleft(bits, 1) + F.when(up, 1).otherwise(0).cast("bigint"))

@@ -16,11 +16,20 @@ def to_gray(bgr: np.ndarray) -> np.ndarray:
     return np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).astype(np.uint8)
 
 
+def crop(image: np.ndarray, box: tuple[int, int, int, int] | None) -> np.ndarray:
+    """The part of a picture in a box of x, y, width, height."""
+    if box is None:
+        return image
+    x, y, w, h = box
+    return image[y : y + h, x : x + w]
+
+
 def laplacian_variance(gray: np.ndarray) -> float:
-    """Population variance of the four-neighbour Laplacian; the border mirrors without repeating its edge."""
-    wide = np.pad(gray.astype(np.float64), 1, mode="reflect" if min(gray.shape) > 1 else "edge")
+    """Population variance of the four-neighbour Laplacian; the border mirrors without repeating its edge. Exact for whole numbers but for one rounding."""
+    wide = np.pad(gray.astype(np.int64), 1, mode="reflect" if min(gray.shape) > 1 else "edge")
     edge = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * wide[1:-1, 1:-1]
-    return float(edge.var())
+    n, total, squares = edge.size, int(edge.sum()), int((edge * edge).sum())
+    return (n * squares - total * total) / (n * n)
 
 
 def to_hsv(bgr: np.ndarray) -> np.ndarray:
@@ -41,15 +50,20 @@ def scene_score(before: np.ndarray, now: np.ndarray) -> float:
     return float(change.reshape(-1, 3).mean(0).mean())
 
 
-def area_resize(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Each target pixel is the mean of the source area that it covers."""
+def area_sums(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """For each target pixel the sum of the source area that it covers, in parts of a pixel: whole numbers, so that equal areas are equal."""
+
+    def parts(n: int, m: int) -> np.ndarray:
+        """m parts to a source pixel, n to a target pixel: how many each pair shares."""
+        cell, target = np.arange(n), np.arange(m)[:, None]
+        return np.clip(np.minimum((target + 1) * n, (cell + 1) * m) - np.maximum(target * n, cell * m), 0, None)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        edge = np.arange(m + 1) * (n / m)
-        cell = np.arange(n)
-        return np.clip(np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell), 0, None) * (m / n)
+    return parts(gray.shape[0], height) @ gray.astype(np.int64) @ parts(gray.shape[1], width).T
 
-    return weights(gray.shape[0], height) @ gray.astype(np.float64) @ weights(gray.shape[1], width).T
+
+def area_resize(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each target pixel is the mean of the source area that it covers."""
+    return area_sums(gray, width, height) / (gray.shape[0] * gray.shape[1])
 
 
 def work_size(width: int, height: int) -> tuple[int, int]:
@@ -73,7 +87,7 @@ def bilinear_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def difference_hash(gray: np.ndarray, size: int = 8) -> str:
     """Hex of size * size bits: is each cell of a small picture brighter than the one to its left? Row by row, first bit on top."""
-    small = area_resize(gray, size + 1, size)
+    small = area_sums(gray, size + 1, size)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -86,36 +100,6 @@ def content_box(projection: np.ndarray, threshold: int = 16) -> tuple[int, int,
     return int(x[0]), int(y[0]), int(x[-1] - x[0] + 1), int(y[-1] - y[0] + 1)
 
 
-# Small pictures as arrays of numbers, row by row.
-
-
-def mean(pixels: Column) -> Column:
-    return F.aggregate(pixels, F.lit(0.0), lambda s, p: s + p) / F.size(pixels)
-
-
-def share_from(pixels: Column, level: int) -> Column:
-    return F.size(F.filter(pixels, lambda p: p >= level)) / F.size(pixels)
-
-
-def edges(pixels: Column, width: int, height: int) -> Column:
-    """Four-neighbour Laplacian of every pixel, with a mirrored border."""
-    at = lambda x, y: F.element_at(pixels, (y * width + x + 1).cast("int"))
-    mirror = lambda v, n: F.when(v < 0, -v).when(v > n - 1, 2 * (n - 1) - v).otherwise(v)
-
-    def one(i: Column) -> Column:
-        x, y = i % width, F.floor(i / width)
-        return at(mirror(x - 1, width), y) + at(mirror(x + 1, width), y) + at(x, mirror(y - 1, height)) + at(x, mirror(y + 1, height)) - 4 * at(x, y)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
-
-
-def variance(values: Column) -> Column:
-    """Population variance; exact for whole numbers."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    squares = F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v)
-    return (squares - total * total / n) / n
-
-
-def mean_change(now: Column, before: Column) -> Column:
-    return mean(F.zip_with(now, before, lambda a, b: F.abs(a - b)))
+def matte_percent(box_width: Column, box_height: Column, width: Column, height: Column) -> Column:
+    """The share of a frame outside its content box, in percent."""
+    return 100 * (1 - box_width.cast("double") * box_height / (width * height))

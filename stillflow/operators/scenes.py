@@ -88,9 +88,16 @@ def merge_segments(segments: DataFrame, fps: float) -> DataFrame:
 
 
 def in_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frames within a segment (by i), with seg and pos over the video's scanned frames; the change at a segment's first frame is 0."""
-    inside = (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop"))
-    kept = frames.join(segments, "video_id").filter(inside).drop("start", "stop")
+    """Frames within a segment (by i), with seg and pos over the video's scanned frames; the change at a segment's first frame is 0.
+
+    Beginnings of segments are put among the frames, and each frame looks back to the last one: no frame meets every segment.
+    """
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema if f.name not in ("video_id", "i")]
+    begins = segments.select("video_id", F.col("start").alias("i"), *nothing, F.struct("seg", "stop").alias("_s"), F.lit(0).alias("_frame"))
+    kind = begins.schema["_s"].dataType
+    both = frames.select(*begins.columns[: len(frames.columns)], F.lit(None).cast(kind).alias("_s"), F.lit(1).alias("_frame")).unionByName(begins)
+    last = F.last("_s", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("i", "_frame"))
+    kept = both.withColumn("_s", last).filter("_frame = 1 and i < _s.stop").select(*frames.columns, F.col("_s.seg").alias("seg"))
     first = F.row_number().over(frame_order("video_id", "seg")) == 1
     return with_position(kept.withColumn("delta", F.when(first, 0.0).otherwise(F.col("delta"))))
 

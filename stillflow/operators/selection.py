@@ -46,18 +46,27 @@ def check_interval(interval: float) -> float:
     return tenths / 10
 
 
-def judge_frames(frames: DataFrame, scenes: DataFrame, o: Options) -> DataFrame:
-    """frames (with pos and scene) and safe (its window fits its scene), weak: dark, blown or soft, the first that holds, null for none.
+def _scene():
+    """Frames of a scene: partitioned by video they are together already, so such windows cost no shuffle."""
+    return Window.partitionBy("video_id", "scene")
+
+
+def with_span(frames: DataFrame, half: int) -> DataFrame:
+    """frames (with pos and scene) and lo, hi: the positions of their scene whose window fits it; safe: is theirs one?"""
+    spans = frames.withColumns({"lo": F.min("pos").over(_scene()) + half, "hi": F.max("pos").over(_scene()) - half})
+    return spans.withColumn("safe", F.col("pos").between(F.col("lo"), F.col("hi")))
+
+
+def judge_frames(frames: DataFrame, o: Options) -> DataFrame:
+    """frames (with pos and scene) and lo, hi, safe (as with_span), weak: dark, blown or soft, the first that holds, null for none.
 
     Soft is judged against the best of the whole scene, weak frames and those near cuts included.
     """
-    s = scenes.select("video_id", F.col("id").alias("scene"), "start", "end", "best_sharpness")
-    known = frames.join(s, ["video_id", "scene"])
-    safe = F.col("pos").between(F.col("start") + o.half, F.col("end") - o.half)
+    known = with_span(frames, o.half).withColumn("_best", F.max("sharpness").over(_scene()))
     weak = F.when(F.lit(o.min_luma > 0) & (F.coalesce("luma", F.lit(255.0)) < o.min_luma), "dark")
     weak = weak.when(F.lit(o.max_highlight_frac > 0) & (F.coalesce("highlight_frac", F.lit(0.0)) > o.max_highlight_frac), "blown")
-    weak = weak.when(F.col("sharpness") < F.col("best_sharpness") * o.min_sharpness_frac, "soft")
-    return known.withColumns({"safe": safe, "weak": weak}).drop("start", "end", "best_sharpness")
+    weak = weak.when(F.col("sharpness") < F.col("_best") * o.min_sharpness_frac, "soft")
+    return known.withColumn("weak", weak).drop("_best")
 
 
 def eligible(judged: DataFrame) -> DataFrame:
@@ -72,43 +81,46 @@ def weak_counts(judged: DataFrame) -> DataFrame:
     )
 
 
-def scene_quota(judged: DataFrame, scenes: DataFrame, o: Options) -> DataFrame:
-    """video_id, scene, quota, n_eligible of scenes with an eligible frame: one still for so many seconds (half to even), 1 to per_scene_max."""
-    n = eligible(judged).groupBy("video_id", "scene").agg(F.count("*").cast("int").alias("n_eligible"))
-    spans = scenes.select("video_id", F.col("id").alias("scene"), ((F.col("end") - F.col("start") + 1) / o.fps).alias("seconds"))
-    want = F.bround(F.col("seconds") / o.seconds_per_still).cast("int") if o.seconds_per_still > 0 else F.lit(1)
-    return n.join(spans, ["video_id", "scene"]).select("video_id", "scene", F.greatest(F.lit(1), F.least(want, F.lit(o.per_scene_max), "n_eligible")).alias("quota"), "n_eligible")
+def with_quota(judged: DataFrame, o: Options) -> DataFrame:
+    """judged and, of their scenes, n_eligible, quota (one still for so many seconds, half to even, 1 to per_scene_max; null
+    without an eligible frame) and gap: frames that picks of the scene keep apart."""
+    counted = judged.withColumn("n_eligible", F.count_if(F.col("safe") & F.col("weak").isNull()).over(_scene()).cast("int"))
+    room = F.col("hi") - F.col("lo") + 1
+    want = F.bround((room + 2 * o.half) / o.fps / o.seconds_per_still).cast("int") if o.seconds_per_still > 0 else F.lit(1)
+    quota = F.when(F.col("n_eligible") > 0, F.greatest(F.lit(1), F.least(want, F.lit(o.per_scene_max), "n_eligible")))
+    gap = F.greatest(F.lit(o.min_gap), F.floor(F.lit(o.gap_fraction) * room / F.col("quota")).cast("int"))
+    return counted.withColumn("quota", quota).withColumn("gap", F.when(F.col("quota").isNotNull(), gap))
+
 
+def scene_quota(judged: DataFrame, o: Options) -> DataFrame:
+    """video_id, scene, quota, n_eligible of scenes with an eligible frame."""
+    return scene_gap(judged, o).select("video_id", "scene", "quota", "n_eligible")
 
-def scene_gap(quota: DataFrame, scenes: DataFrame, o: Options) -> DataFrame:
-    """quota and lo, hi (positions whose window fits), gap: frames that picks of the scene keep apart."""
-    s = scenes.select("video_id", F.col("id").alias("scene"), (F.col("start") + o.half).alias("lo"), (F.col("end") - o.half).alias("hi"))
-    gap = F.greatest(F.lit(o.min_gap), F.floor(F.lit(o.gap_fraction) * (F.col("hi") - F.col("lo") + 1) / F.col("quota")).cast("int"))
-    return quota.join(s, ["video_id", "scene"]).withColumn("gap", gap)
 
+def scene_gap(judged: DataFrame, o: Options) -> DataFrame:
+    """video_id, scene, quota, n_eligible, lo, hi, gap of scenes with an eligible frame."""
+    facts = ("quota", "n_eligible", "lo", "hi", "gap")
+    return with_quota(judged, o).filter("quota is not null").groupBy("video_id", "scene").agg(*(F.first(c).alias(c) for c in facts))
 
-def slice_candidates(judged: DataFrame, gaps: DataFrame) -> DataFrame:
+
+def slice_candidates(judged: DataFrame, o: Options) -> DataFrame:
     """Eligible frames in the time slices of their scenes: slice (from 0), rank by sharpness (ties: the earlier frame)."""
-    span = F.col("hi") - F.col("lo") + 1
-    joined = eligible(judged).join(gaps.select("video_id", "scene", "quota", "lo", "hi"), ["video_id", "scene"])
+    span, place = F.col("hi") - F.col("lo") + 1, F.col("pos") - F.col("lo")
     # The slice k with lo + k * span div quota <= pos: the last one that begins at or before it.
-    place = F.col("pos") - F.col("lo")
-    sliced = joined.withColumn("slice", F.floor(((place + 1) * F.col("quota") - 1) / span).cast("int"))
+    sliced = eligible(with_quota(judged, o)).withColumn("slice", F.floor(((place + 1) * F.col("quota") - 1) / span).cast("int"))
     order = Window.partitionBy("video_id", "scene", "slice").orderBy(F.desc("sharpness"), "i")
-    return sliced.withColumn("rank", F.row_number().over(order)).drop("lo", "hi", "quota")
+    return sliced.withColumn("rank", F.row_number().over(order))
 
 
-def select_interval(frames: DataFrame, scenes: DataFrame, interval: float, window: int = 5) -> DataFrame:
-    """The sharpest frame of every interval that has any (ties: the first); frames whose window fits their scene come first.
+def select_interval(frames: DataFrame, interval: float, window: int = 5) -> DataFrame:
+    """The sharpest frame of every interval that has any (ties: the first); frames (with pos and scene) whose window fits their scene come first.
 
     unsafe: the interval had none of these.
     """
     half, interval = window // 2, check_interval(interval)
-    s = scenes.select("video_id", F.col("id").alias("scene"), "start", "end")
-    known = frames.join(s, ["video_id", "scene"]).withColumn("safe", F.col("pos").between(F.col("start") + half, F.col("end") - half))
     bucket = F.floor(F.col("t") / interval + 1e-9).cast("int")
     best = F.max_by(F.struct("i", "t", "scene", "sharpness", "dhash", "safe"), F.struct("safe", "sharpness", -F.col("pos")))
-    picks = known.groupBy("video_id", bucket.alias("bucket")).agg(best.alias("p"))
+    picks = with_span(frames, half).groupBy("video_id", bucket.alias("bucket")).agg(best.alias("p"))
     return picks.select("video_id", "bucket", F.col("p.i").alias("frame"), "p.t", "p.scene", "p.sharpness", "p.dhash", (~F.col("p.safe")).alias("unsafe"), F.array(F.col("p.i") - half, F.col("p.i") + half).alias("window"))
 
 
@@ -169,17 +181,32 @@ def pick_in_order(rows: pd.DataFrame, o: Options, by_frame_number: bool = False)
     return out
 
 
-def select_scene(judged: DataFrame, scenes: DataFrame, o: Options, by_frame_number: bool = False) -> DataFrame:
+def select_scene(judged: DataFrame, o: Options, by_frame_number: bool = False) -> DataFrame:
     """Picks of every video: quotas and gaps in the plan, the ordered part video by video over eligible metric rows only."""
-    gaps = scene_gap(scene_quota(judged, scenes, o), scenes, o)
-    rows = eligible(judged).join(gaps, ["video_id", "scene"]).select("video_id", "i", "t", "pos", "scene", "sharpness", "dhash", "quota", "lo", "hi", "gap")
+    rows = eligible(with_quota(judged, o)).select("video_id", "i", "t", "pos", "scene", "sharpness", "dhash", "quota", "lo", "hi", "gap")
     return rows.groupBy("video_id").applyInPandas(lambda pdf: pick_in_order(pdf, o, by_frame_number), PICKS)
 
 
-def select_stats(judged: DataFrame, scenes: DataFrame, o: Options) -> DataFrame:
+def select_stats(judged: DataFrame, o: Options) -> DataFrame:
     """For each video: eligible frames, stills wanted, scenes without an eligible frame (sorted)."""
-    quota = scene_quota(judged, scenes, o)
-    every = scenes.select("video_id", F.col("id").alias("scene")).join(quota, ["video_id", "scene"], "left")
+    every = with_quota(judged, o).groupBy("video_id", "scene").agg(F.first("quota").alias("quota"), F.first("n_eligible").alias("n_eligible"))
     return every.groupBy("video_id").agg(
-        F.sum(F.coalesce("n_eligible", F.lit(0))).alias("eligible_frames"), F.sum(F.coalesce("quota", F.lit(0))).alias("wanted"), F.array_sort(F.collect_list(F.when(F.col("quota").isNull(), F.col("scene")))).alias("scenes_unusable")
+        F.sum("n_eligible").alias("eligible_frames"), F.sum(F.coalesce("quota", F.lit(0))).alias("wanted"), F.array_sort(F.collect_list(F.when(F.col("quota").isNull(), F.col("scene")))).alias("scenes_unusable")
     )
+
+
+def closest_pairs(picks: DataFrame) -> DataFrame:
+    """For each video of picks (video_id, frame, dhash) with two or more, the pair that differs in the fewest hash bits: d, fa, fb (ties: the first frames)."""
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable")
+        frame, bits, best = pdf["frame"].to_numpy(), pdf["dhash"].to_numpy(np.int64).view(np.uint64), None
+        for k in range(len(bits) - 1):  # one row of pairs at a time, none kept
+            away = np.bitwise_count(bits[k + 1 :] ^ bits[k])
+            j = int(away.argmin())
+            if best is None or int(away[j]) < best[0]:
+                best = (int(away[j]), int(frame[k]), int(frame[k + 1 + j]))
+        return pd.DataFrame([] if best is None else [(pdf["video_id"].iloc[0], *best)], columns=["video_id", "d", "fa", "fb"])
+
+    kind = picks.schema["video_id"].dataType.simpleString()
+    return picks.select("video_id", "frame", "dhash").groupBy("video_id").applyInPandas(least, f"video_id {kind}, d int, fa int, fb int")

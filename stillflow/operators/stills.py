@@ -71,6 +71,18 @@ def manifest_rows(stills: DataFrame) -> DataFrame:
     return stills.select("file", F.to_json(F.struct(*(c for c in MANIFEST_FIELDS if c in stills.columns)), {"ignoreNullFields": "true"}).alias("entry"))
 
 
+def manifest_counts(stills: DataFrame, *keys: str) -> DataFrame:
+    """How many stills (restored, and t of their pick), how many of them captures, how many with a known pick."""
+    return stills.groupBy(*keys).agg(F.count("*").alias("stills"), F.count_if(~F.col("restored")).alias("raw"), F.count_if(F.col("t").isNotNull()).alias("with_provenance"))
+
+
+def provenance_gaps(stills: DataFrame) -> DataFrame:
+    """unnamed: files whose names tell no frame; unmatched: whose frame no pick has; with three of each, in name order."""
+    gaps = {"unnamed": F.col("frame").isNull(), "unmatched": F.col("frame").isNotNull() & F.col("t").isNull()}
+    some = [F.slice(F.array_sort(F.collect_list(F.when(c, F.col("file")))), 1, 3).alias(f"{n}_files") for n, c in gaps.items()]
+    return stills.agg(*(F.count_if(c).alias(n) for n, c in gaps.items()), *some)
+
+
 def still_names(picks: DataFrame, stem: str) -> DataFrame:
     seed = F.col("name_seed") if "name_seed" in picks.columns else None
     return picks.withColumn("file", still_name(F.col(stem), F.col("scene"), F.col("frame"), seed))

@@ -1,4 +1,4 @@
-"""The driver's tables read as frames: events as the metric rows of one video for each user, embeddings as one video of 8 x 8 pictures."""
+"""The driver's tables read as frames: events as the metric rows of one video for each user, embeddings as videos of 8 x 8 pictures."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ THRESHOLD, MIN_LEN = 120.0, 5
 #: Selection on events; highlights run evenly up to 0.99 there.
 OPTIONS = Options(fps=FPS, seconds_per_still=4.0, per_scene_max=8, hash_distance=8, min_luma=24.0, max_highlight_frac=0.95)
 INTERVAL = 2.0
-SIDE = 8
+SIDE, LENGTH = 8, 125
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,17 +33,21 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("video_id", "i", F.col("i").alias("pos"), (F.col("i") / FPS).alias("t"), F.col("value").alias("sharpness"), (F.col("k") * 2.55).alias("luma"), (F.col("k") / 100.0).alias("highlight_frac"), "delta", "dhash")
 
 
-def event_scenes(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames with their scenes, and the scenes with their statistics."""
-    placed = S.assign_scenes(frames, S.scene_bounds(frames, THRESHOLD, MIN_LEN))
-    return placed, S.scene_stats(placed)
+def event_placed(frames: DataFrame) -> DataFrame:
+    """Frames with their scenes."""
+    return S.assign_scenes(frames, S.scene_bounds(frames, THRESHOLD, MIN_LEN))
 
 
 def picture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """i, px: 64 whole numbers 0 to 255 of each picture, row by row."""
+    """video_id, i, t, fps, height, width, data (blue-green-red bytes) of 8 x 8 colour pictures: each number of an embedding is a
+    pixel's blue, the one 21 further on its green, 42 further on its red; LENGTH pictures are a video."""
     e = table(spark, sf_dir, "embeddings")
-    px = F.transform("embedding", lambda v: F.least(F.greatest(F.floor(127.5 + 240.0 * v.cast("double")).cast("int"), F.lit(0)), F.lit(255)))
-    return e.select(F.lit(0).alias("video_id"), F.col("vec_id").cast("int").alias("i"), px.alias("px"))
+    level = F.transform("embedding", lambda v: F.least(F.greatest(F.floor(127.5 + 480.0 * v.cast("double")).cast("int"), F.lit(0)), F.lit(255)))
+    px = e.select("vec_id", level.alias("px"))
+    byte = lambda k, shift: F.lpad(F.hex(F.element_at("px", ((k + shift) % 64 + 1).cast("int"))), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(byte(k, 0), byte(k, 21), byte(k, 42))), ""))
+    i = (F.col("vec_id") % LENGTH).cast("int")
+    return px.select(F.floor(F.col("vec_id") / LENGTH).cast("string").alias("video_id"), i.alias("i"), F.round(i / 25.0, 4).alias("t"), F.lit(25.0).alias("fps"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), data.alias("data"))
 
 
 def names_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from stillflow.functions import hashing, names, pixels, timecode
 from stillflow.operators import preview, restore, selection, sheet, stills
 from stillflow.operators import scenes as S
-from stillflow.plans.proxies import FPS, INTERVAL, MIN_LEN, OPTIONS, SIDE, THRESHOLD, event_frames, event_scenes, names_of_documents, picture_frames, table
+from stillflow.plans.proxies import FPS, INTERVAL, LENGTH, MIN_LEN, OPTIONS, SIDE, THRESHOLD, event_frames, event_placed, names_of_documents, picture_frames, table
+from stillflow.sources import images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,10 +58,40 @@ _INTERVAL = f"""{_SCENES},
 known AS (SELECT p.*, p.pos BETWEEN s.start + 2 AND s."end" - 2 AS safe, floor(p.t / 2.0e0 + 1e-9)::INT AS bucket FROM placed p JOIN scenes s ON s.video_id = p.video_id AND s.id = p.scene),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id, bucket ORDER BY safe DESC, sharpness DESC, pos) AS rn FROM known),
 picks AS (SELECT video_id, bucket, i AS frame, t, scene, sharpness, dhash, NOT safe AS unsafe, [i - 2, i + 2] AS "window" FROM ranked WHERE rn = 1)"""
-_PICTURES = """
-px AS (SELECT vec_id::INT AS i, [least(greatest(floor(127.5e0 + 240.0e0 * v::DOUBLE)::INT, 0), 255) for v in embedding] AS px FROM embeddings)"""
-_CELLS = f"""{_PICTURES},
-cells AS (SELECT i, unnest(range(64))::INT AS cell, unnest(px) AS p FROM px)"""
+_PIXELS = f"""
+levels AS (SELECT (vec_id // {LENGTH})::VARCHAR AS video_id, (vec_id % {LENGTH})::INT AS i, [least(greatest(floor(127.5e0 + 480.0e0 * v::DOUBLE)::INT, 0), 255) for v in embedding] AS px FROM embeddings),
+pix AS (SELECT video_id, i, c::INT AS cell, (c % 8)::INT AS x, (c // 8)::INT AS y, px[c + 1] AS b, px[(c + 21) % 64 + 1] AS g, px[(c + 42) % 64 + 1] AS r FROM levels, range(64) cells(c))"""
+
+
+def _colours(pixels: str = "pix") -> str:
+    """gray, hue, sat, val of the pixels of a table with r, g, b."""
+    return f"""
+spans AS (SELECT *, floor(0.299e0 * r + 0.587e0 * g + 0.114e0 * b + 0.5e0)::INT AS gray, greatest(r, g, b) AS val, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span FROM {pixels}),
+turns AS (SELECT *, CASE WHEN span = 0 THEN 0.0e0 WHEN val = r THEN 60 * (g - b) / span WHEN val = g THEN 120 + 60 * (b - r) / span ELSE 240 + 60 * (r - g) / span END AS turn FROM spans),
+colours AS (SELECT video_id, i, cell, x, y, gray, val, CASE WHEN val = 0 THEN 0 ELSE round_even(255 * span / val, 0)::INT END AS sat, round_even((CASE WHEN turn < 0 THEN turn + 360 ELSE turn END) / 2, 0)::INT % 180 AS hue FROM turns)"""
+
+
+def _measures(x0: int = 0, y0: int = 0, w: int = 8, h: int = 8) -> str:
+    """m: video_id, i, t, sharpness, luma, highlight_frac, delta of the pictures' part of w x h pixels from x0, y0."""
+    n = w * h
+    return f"""{_PIXELS},{_colours()},
+part AS (SELECT video_id, i, cell, x - {x0} AS x, y - {y0} AS y, gray, hue, sat, val FROM colours WHERE x >= {x0} AND x < {x0 + w} AND y >= {y0} AND y < {y0 + h}),
+edge AS (SELECT c.video_id, c.i, l.gray + r.gray + u.gray + d.gray - 4 * c.gray AS e FROM part c
+  JOIN part l ON l.video_id = c.video_id AND l.i = c.i AND l.y = c.y AND l.x = abs(c.x - 1) JOIN part r ON r.video_id = c.video_id AND r.i = c.i AND r.y = c.y AND r.x = {w - 1} - abs({w - 1} - (c.x + 1))
+  JOIN part u ON u.video_id = c.video_id AND u.i = c.i AND u.x = c.x AND u.y = abs(c.y - 1) JOIN part d ON d.video_id = c.video_id AND d.i = c.i AND d.x = c.x AND d.y = {h - 1} - abs({h - 1} - (c.y + 1))),
+sharp AS (SELECT video_id, i, round_even(({n} * sum(e * e) - sum(e) * sum(e))::DOUBLE / {n * n}, 4) AS sharpness FROM edge GROUP BY video_id, i),
+before AS (SELECT *, lag(hue) OVER w AS h0, lag(sat) OVER w AS s0, lag(val) OVER w AS v0 FROM part WINDOW w AS (PARTITION BY video_id, cell ORDER BY i)),
+m AS (SELECT b.video_id, b.i, round(b.i / 25.0e0, 4) AS t, any_value(s.sharpness) AS sharpness, round_even(sum(gray) / {n}.0e0, 2) AS luma, round_even(count(*) FILTER (gray >= 230) / {n}.0e0, 4) AS highlight_frac,
+  CASE WHEN bool_or(h0 IS NULL) THEN 0.0e0 ELSE round_even((sum(least(abs(hue - h0), 180 - abs(hue - h0))) / {n}.0e0 + sum(abs(sat - s0)) / {n}.0e0 + sum(abs(val - v0)) / {n}.0e0) / 3, 4) END AS delta
+  FROM before b JOIN sharp s ON s.video_id = b.video_id AND s.i = b.i GROUP BY b.video_id, b.i)"""
+
+
+# Nine cells of eight ninths of a pixel in each row; a bit for each but the first: is it brighter than the one to its left?
+_HASH = """
+nine AS (SELECT c.video_id, c.i, c.y, j::INT AS j, sum(greatest(0, least((j + 1) * 8, (c.x + 1) * 9) - greatest(j * 8, c.x * 9)) * c.gray) AS s FROM colours c, range(9) cells(j) GROUP BY c.video_id, c.i, c.y, j),
+bits AS (SELECT *, s > lag(s) OVER (PARTITION BY video_id, i, y ORDER BY j) AS up FROM nine),
+bytes AS (SELECT video_id, i, y, sum(CASE WHEN up THEN 1 << (8 - j) ELSE 0 END)::INT AS byte FROM bits WHERE j > 0 GROUP BY video_id, i, y),
+hashes AS (SELECT video_id, i, string_agg(printf('%02x', byte), '' ORDER BY y) AS dhash FROM bytes GROUP BY video_id, i)"""
 _SEGMENTS = """
 wanted AS (SELECT DISTINCT o_custkey AS video_id, (o_orderkey % 50)::DOUBLE AS from_t, (o_orderkey % 50 + 1 + o_orderkey % 7)::DOUBLE + 0.25e0 AS to_t FROM orders),
 ranges AS (SELECT video_id, round_even(from_t * 2.0e0, 0)::INT AS start, round_even(to_t * 2.0e0, 0)::INT + 1 AS stop FROM wanted),
@@ -91,8 +121,7 @@ def _with(parts: str, select: str, recursive: bool = True) -> str:
 @query(_with(_INTERVAL, "SELECT * FROM picks"))
 def sharpest_per_interval(spark, sf_dir):
     """The sharpest frame of every interval of every scene's video."""
-    frames, scenes = event_scenes(event_frames(spark, sf_dir))
-    return selection.select_interval(frames, scenes, INTERVAL)
+    return selection.select_interval(event_placed(event_frames(spark, sf_dir)), INTERVAL)
 
 
 @query(_with(_INTERVAL, "SELECT video_id, count(*)::INT AS intervals, count(*) FILTER (unsafe)::INT AS window_unsafe FROM picks GROUP BY video_id"))
@@ -123,24 +152,23 @@ def scene_bounds(spark, sf_dir):
 
 @query(_with(_SCENES, "SELECT video_id, i, scene FROM placed"))
 def scene_assign(spark, sf_dir):
-    return event_scenes(event_frames(spark, sf_dir))[0].select("video_id", "i", "scene")
+    return event_placed(event_frames(spark, sf_dir)).select("video_id", "i", "scene")
 
 
 @query(_with(_SCENES, "SELECT * FROM scenes"))
 def scene_stats(spark, sf_dir):
-    return event_scenes(event_frames(spark, sf_dir))[1]
+    return S.scene_stats(event_placed(event_frames(spark, sf_dir)))
 
 
 @query(_with(_SCENES, "SELECT video_id, id, start_i, end_i, frame_count, best_frame FROM scenes WHERE id < 20"))
 def scene_table(spark, sf_dir):
-    return event_scenes(event_frames(spark, sf_dir))[1].filter("id < 20").select("video_id", "id", "start_i", "end_i", "frame_count", "best_frame")
+    return scene_stats(spark, sf_dir).filter("id < 20").select("video_id", "id", "start_i", "end_i", "frame_count", "best_frame")
 
 
 @query(_with(_SCENES, "SELECT f.video_id, count(*)::INT AS frame_count, round(count(*) / 2.0e0, 3) AS duration_s, (SELECT count(*)::INT FROM scenes s WHERE s.video_id = f.video_id) AS scenes FROM frames f GROUP BY f.video_id"))
 def video_summary(spark, sf_dir):
-    frames, scenes = event_scenes(event_frames(spark, sf_dir))
-    total = frames.groupBy("video_id").agg(F.count("*").cast("int").alias("frame_count"), F.round(F.count("*") / FPS, 3).alias("duration_s"))
-    return total.join(scenes.groupBy("video_id").agg(F.count("*").cast("int").alias("scenes")), "video_id")
+    frames = event_placed(event_frames(spark, sf_dir))
+    return frames.groupBy("video_id").agg(F.count("*").cast("int").alias("frame_count"), F.round(F.count("*") / FPS, 3).alias("duration_s"), F.countDistinct("scene").cast("int").alias("scenes"))
 
 
 @query(_with(_SEGMENTS, "SELECT * FROM segments", False))
@@ -191,12 +219,11 @@ def range_partition_edges(spark, sf_dir):
 
 @query(_with(_JUDGED, "SELECT video_id, i, safe FROM judged"))
 def window_safe(spark, sf_dir):
-    return _judged(spark, sf_dir)[0].select("video_id", "i", "safe")
+    return _judged(spark, sf_dir).select("video_id", "i", "safe")
 
 
 def _judged(spark, sf_dir):
-    frames, scenes = event_scenes(event_frames(spark, sf_dir))
-    return selection.judge_frames(frames, scenes, OPTIONS), scenes
+    return selection.judge_frames(event_placed(event_frames(spark, sf_dir)), OPTIONS)
 
 
 @query(
@@ -206,18 +233,17 @@ def _judged(spark, sf_dir):
     )
 )
 def weak_frames(spark, sf_dir):
-    return selection.weak_counts(_judged(spark, sf_dir)[0])
+    return selection.weak_counts(_judged(spark, sf_dir))
 
 
 @query(_with(_JUDGED, "SELECT * FROM quota"))
 def scene_quota(spark, sf_dir):
-    return selection.scene_quota(*_judged(spark, sf_dir), OPTIONS)
+    return selection.scene_quota(_judged(spark, sf_dir), OPTIONS)
 
 
 @query(_with(_JUDGED, "SELECT * FROM gaps"))
 def scene_gap(spark, sf_dir):
-    judged, scenes = _judged(spark, sf_dir)
-    return selection.scene_gap(selection.scene_quota(judged, scenes, OPTIONS), scenes, OPTIONS)
+    return selection.scene_gap(_judged(spark, sf_dir), OPTIONS)
 
 
 @query(
@@ -227,14 +253,12 @@ def scene_gap(spark, sf_dir):
     )
 )
 def slice_candidates(spark, sf_dir):
-    judged, scenes = _judged(spark, sf_dir)
-    gaps = selection.scene_gap(selection.scene_quota(judged, scenes, OPTIONS), scenes, OPTIONS)
-    return selection.slice_candidates(judged, gaps).select("video_id", "scene", "slice", "i", "rank")
+    return selection.slice_candidates(_judged(spark, sf_dir), OPTIONS).select("video_id", "scene", "slice", "i", "rank")
 
 
 @query()
 def select_scene(spark, sf_dir):
-    return selection.select_scene(*_judged(spark, sf_dir), OPTIONS)
+    return selection.select_scene(_judged(spark, sf_dir), OPTIONS)
 
 
 @query(
@@ -244,7 +268,7 @@ def select_scene(spark, sf_dir):
     )
 )
 def select_stats(spark, sf_dir):
-    return selection.select_stats(*_judged(spark, sf_dir), OPTIONS)
+    return selection.select_stats(_judged(spark, sf_dir), OPTIONS)
 
 
 @query(_with(_INTERVAL, 'SELECT video_id, frame, "window"[1] AS lo, "window"[2] AS hi FROM picks'))
@@ -264,8 +288,8 @@ def source_frames(spark, sf_dir):
     )
 )
 def restore_window(spark, sf_dir):
-    frames, scenes = event_scenes(event_frames(spark, sf_dir))
-    done = restore.restore_windows(selection.select_interval(frames, scenes, INTERVAL), frames, ["sharpness"])
+    frames = event_frames(spark, sf_dir)
+    done = restore.restore_windows(selection.select_interval(event_placed(frames), INTERVAL), frames, ["sharpness"])
     return done.select("video_id", "frame", F.col("members.i").alias("members"), F.col("members.sharpness").alias("sharpness"), "complete")
 
 
@@ -283,16 +307,12 @@ def centred_subwindow(spark, sf_dir):
 
 @query(
     _with(
-        f"{_FRAMES}, pairs AS (SELECT a.video_id, bit_count(xor(a.dhash, b.dhash))::INT AS d, a.i AS fa, b.i AS fb FROM frames a JOIN frames b ON a.video_id = b.video_id AND a.i < b.i), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY d, fa, fb) AS rn FROM pairs)",
+        f"{_INTERVAL}, pairs AS (SELECT a.video_id, bit_count(xor(a.dhash, b.dhash))::INT AS d, a.frame AS fa, b.frame AS fb FROM picks a JOIN picks b ON a.video_id = b.video_id AND a.frame < b.frame), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY d, fa, fb) AS rn FROM pairs)",
         "SELECT video_id, d, fa, fb FROM r WHERE rn = 1",
     )
 )
 def closest_pair(spark, sf_dir):
-    """Pairs within a video of at most a few picks in use; here all frames of each."""
-    f = event_frames(spark, sf_dir).select("video_id", "i", "dhash")
-    pairs = f.select("video_id", F.col("i").alias("fa"), F.col("dhash").alias("ha")).join(f.select("video_id", F.col("i").alias("fb"), F.col("dhash").alias("hb")), "video_id").filter("fa < fb")
-    least = pairs.groupBy("video_id").agg(F.min(F.struct(hashing.hamming(F.col("ha"), F.col("hb")).alias("d"), "fa", "fb")).alias("m"))
-    return least.select("video_id", "m.d", "m.fa", "m.fb")
+    return selection.closest_pairs(sharpest_per_interval(spark, sf_dir))
 
 
 @query(_with(f"{_FRAMES}, n AS (SELECT video_id, i, dhash, lag(dhash) OVER (PARTITION BY video_id ORDER BY i) AS before FROM frames)", "SELECT video_id, i, bit_count(xor(dhash, before))::INT AS bits FROM n WHERE before IS NOT NULL"))
@@ -326,106 +346,86 @@ def quick_preview(spark, sf_dir):
     return preview.quick_preview(event_frames(spark, sf_dir), _windows(spark, sf_dir))
 
 
-# Pictures.
+# Pictures, measured by the pass over pixels that scans take.
 
 
-@query(_with(_PICTURES, "SELECT i, list_sum(px) / 64.0e0 AS luma FROM px"))
+def _measured(spark, sf_dir):
+    """Short runs, so that most pictures' predecessors come from the run before."""
+    return images.measure(picture_frames(spark, sf_dir), chunk=16)
+
+
+@query(_with(f"{_measures()},{_HASH}", "SELECT m.*, h.dhash FROM m JOIN hashes h ON h.video_id = m.video_id AND h.i = m.i", False))
+def frame_metrics(spark, sf_dir):
+    return _measured(spark, sf_dir)
+
+
+@query(_with(_measures(), "SELECT video_id, i, luma FROM m", False))
 def luma(spark, sf_dir):
-    return picture_frames(spark, sf_dir).select("i", pixels.mean(F.col("px")).alias("luma"))
+    return _measured(spark, sf_dir).select("video_id", "i", "luma")
 
 
-@query(_with(_PICTURES, "SELECT i, len([p for p in px if p >= 180]) / 64.0e0 AS highlight_frac FROM px"))
+@query(_with(_measures(), "SELECT video_id, i, highlight_frac FROM m", False))
 def highlight_frac(spark, sf_dir):
-    return picture_frames(spark, sf_dir).select("i", pixels.share_from(F.col("px"), 180).alias("highlight_frac"))
+    return _measured(spark, sf_dir).select("video_id", "i", "highlight_frac")
 
 
-_EDGES = f"""{_CELLS}, xy AS (SELECT i, cell % 8 AS x, cell // 8 AS y, p FROM cells),
-edge AS (SELECT c.i, l.p + r.p + u.p + d.p - 4 * c.p AS e FROM xy c
-  JOIN xy l ON l.i = c.i AND l.y = c.y AND l.x = abs(c.x - 1) JOIN xy r ON r.i = c.i AND r.y = c.y AND r.x = 7 - abs(7 - (c.x + 1))
-  JOIN xy u ON u.i = c.i AND u.x = c.x AND u.y = abs(c.y - 1) JOIN xy d ON d.i = c.i AND d.x = c.x AND d.y = 7 - abs(7 - (c.y + 1))),
-sharp AS (SELECT i, round((sum(e * e) - sum(e)::DOUBLE * sum(e) / 64) / 64, 4) AS sharpness FROM edge GROUP BY i)"""
+@query(_with(_measures(), "SELECT video_id, i, sharpness FROM m", False))
+def sharpness(spark, sf_dir):
+    return _measured(spark, sf_dir).select("video_id", "i", "sharpness")
 
 
-def _sharpness(px):
-    return F.round(pixels.variance(pixels.edges(px, SIDE, SIDE)), 4)
+@query(_with(f"{_PIXELS},{_colours()},{_HASH}", "SELECT video_id, i, dhash FROM hashes", False))
+def dhash(spark, sf_dir):
+    return _measured(spark, sf_dir).select("video_id", "i", "dhash")
 
 
-@query(_with(_EDGES, "SELECT * FROM sharp"))
-def sharpness(spark, sf_dir):
-    return picture_frames(spark, sf_dir).select("i", _sharpness(F.col("px")).alias("sharpness"))
+@query(_with(_measures(), "SELECT video_id, i, delta FROM m", False))
+def scene_delta(spark, sf_dir):
+    return _measured(spark, sf_dir).select("video_id", "i", "delta")
 
 
-_HASH = "SELECT i, list_sum([CASE WHEN px[k + 1] > px[k] THEN (1::BIGINT << (63 - k)::INT) ELSE 0::BIGINT END for k in range(1, 64)])::BIGINT AS dhash FROM px"
+@query(_with(_measures(2, 1, 4, 6), "SELECT video_id, i, sharpness, luma, highlight_frac, delta FROM m", False))
+def crop(spark, sf_dir):
+    """Measures of rows 1 to 6 and columns 2 to 5 of each picture."""
+    return images.measure(picture_frames(spark, sf_dir), (2, 1, 4, 6), 16).select("video_id", "i", "sharpness", "luma", "highlight_frac", "delta")
 
 
-@query(_with(_PICTURES, _HASH))
-def dhash(spark, sf_dir):
-    return picture_frames(spark, sf_dir).select("i", hashing.neighbour_hash(F.col("px")).alias("dhash"))
+@query(_with(f"{_PIXELS},{_colours()}", "SELECT video_id, i, list(gray ORDER BY cell) AS gray FROM colours GROUP BY video_id, i", False))
+def to_gray(spark, sf_dir):
+    return images.planes(picture_frames(spark, sf_dir)).select("video_id", "i", "gray")
 
 
-_CHANGE = f"""{_PICTURES}, prev AS (SELECT i, px, lag(px) OVER (ORDER BY i) AS b FROM px),
-change AS (SELECT i, CASE WHEN b IS NULL THEN 0.0e0 ELSE list_sum([abs(px[k] - b[k]) for k in range(1, 65)]) / 64.0e0 END AS delta FROM prev)"""
+@query(_with(f"{_PIXELS},{_colours()}", "SELECT video_id, i, list(hue ORDER BY cell) AS hue, list(sat ORDER BY cell) AS saturation, list(val ORDER BY cell) AS value FROM colours GROUP BY video_id, i", False))
+def hsv(spark, sf_dir):
+    return images.planes(picture_frames(spark, sf_dir)).select("video_id", "i", "hue", "saturation", "value")
 
 
-@query(_with(_CHANGE, "SELECT * FROM change"))
-def scene_delta(spark, sf_dir):
-    frames = picture_frames(spark, sf_dir).withColumnRenamed("px", "value")
-    return S.with_delta(frames, pixels.mean_change(F.col("value"), F.col("before"))).select("i", "delta")
+_HALVED = f"""{_PIXELS},
+small AS (SELECT video_id, i, (y // 2 * 4 + x // 2)::INT AS cell, 0 AS x, 0 AS y, floor(sum(r) / 4.0e0 + 0.5e0)::INT AS r, floor(sum(g) / 4.0e0 + 0.5e0)::INT AS g, floor(sum(b) / 4.0e0 + 0.5e0)::INT AS b FROM pix GROUP BY video_id, i, y // 2 * 4 + x // 2),{_colours("small")}"""
 
 
-@query(_with(f"{_EDGES}, {_CHANGE.replace(_PICTURES + ',', '').strip()}, h AS ({_HASH})", "SELECT p.i, list_sum(p.px) / 64.0e0 AS luma, len([q for q in p.px if q >= 180]) / 64.0e0 AS highlight_frac, s.sharpness, c.delta, h.dhash FROM px p JOIN sharp s ON s.i = p.i JOIN change c ON c.i = p.i JOIN h ON h.i = p.i"))
-def frame_metrics(spark, sf_dir):
-    f = S.with_delta(picture_frames(spark, sf_dir).withColumn("value", F.col("px")), pixels.mean_change(F.col("value"), F.col("before")))
-    px = F.col("px")
-    return f.select("i", pixels.mean(px).alias("luma"), pixels.share_from(px, 180).alias("highlight_frac"), _sharpness(px).alias("sharpness"), "delta", hashing.neighbour_hash(px).alias("dhash"))
+@query(_with(_HALVED, "SELECT video_id, i, list(gray ORDER BY cell) AS gray, list(hue ORDER BY cell) AS hue FROM colours GROUP BY video_id, i", False))
+def downscale(spark, sf_dir):
+    """Pictures at half their size."""
+    return images.planes(picture_frames(spark, sf_dir), (SIDE // 2, SIDE // 2)).select("video_id", "i", "gray", "hue")
 
 
 @query(
     _with(
-        f"{_CELLS}, top AS (SELECT cell, max(p) AS p FROM cells WHERE i % greatest(1, (SELECT count(*) FROM embeddings) // 60) = 0 GROUP BY cell), lit AS (SELECT cell % 8 AS x, cell // 8 AS y FROM top WHERE p > 215)",
-        "SELECT coalesce(min(x), 0)::INT AS x, coalesce(min(y), 0)::INT AS y, coalesce(max(x) - min(x) + 1, 8)::INT AS w, coalesce(max(y) - min(y) + 1, 8)::INT AS h FROM lit",
+        f"{_PIXELS}, steps AS (SELECT video_id, greatest(1, count(*) // 3) AS step FROM levels GROUP BY video_id), lit AS (SELECT p.video_id, x, y FROM pix p JOIN steps s ON s.video_id = p.video_id WHERE p.i % s.step = 0 GROUP BY p.video_id, x, y HAVING max(greatest(r, g, b)) > 250)",
+        "SELECT s.video_id, coalesce(min(x), 0)::INT AS x, coalesce(min(y), 0)::INT AS y, coalesce(max(x) - min(x) + 1, 8)::INT AS w, coalesce(max(y) - min(y) + 1, 8)::INT AS h FROM steps s LEFT JOIN lit l ON l.video_id = s.video_id GROUP BY s.video_id",
+        False,
     )
 )
 def content_box(spark, sf_dir):
-    frames = picture_frames(spark, sf_dir)
-    step = frames.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 60)).alias("step"))
-    sampled = frames.crossJoin(F.broadcast(step)).filter("i % step = 0")  # one row beside the frames
-    top = sampled.select(F.posexplode("px").alias("cell", "p")).groupBy("cell").agg(F.max("p").alias("p")).filter("p > 215")
-    lit = top.select((F.col("cell") % SIDE).alias("x"), F.floor(F.col("cell") / SIDE).cast("int").alias("y"))
-    size = lambda c: F.coalesce(F.max(c) - F.min(c) + 1, F.lit(SIDE)).cast("int")
-    return lit.agg(F.coalesce(F.min("x"), F.lit(0)).alias("x"), F.coalesce(F.min("y"), F.lit(0)).alias("y"), size("x").alias("w"), size("y").alias("h"))
-
-
-@query(_with(_PICTURES, "SELECT i, list_concat(px[11:14], px[19:22], px[27:30], px[35:38], px[43:46], px[51:54]) AS px FROM px", False))
-def crop(spark, sf_dir):
-    """Rows 1 to 6 and columns 2 to 5 of each picture."""
-    rows = F.flatten(F.array(*(F.slice("px", y * SIDE + 3, 4) for y in range(1, 7))))
-    return picture_frames(spark, sf_dir).select("i", rows.alias("px"))
-
-
-@query(_with(_PICTURES, "SELECT i, floor(0.299e0 * px[1] + 0.587e0 * px[2] + 0.114e0 * px[3] + 0.5e0)::INT AS gray FROM px"))
-def to_gray(spark, sf_dir):
-    """The first three numbers of a picture as one red-green-blue pixel."""
-    r, g, b = (F.col("px")[k] for k in range(3))
-    return picture_frames(spark, sf_dir).select("i", F.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).cast("int").alias("gray"))
-
-
-@query()
-def hsv(spark, sf_dir):
-    """Hue, saturation and value of the first three numbers of a picture as one red-green-blue pixel, by the pixel kernel."""
-    @F.pandas_udf("hue int, saturation int, value int")
-    def convert(px: pd.Series) -> pd.DataFrame:
-        rgb = np.array([p[:3] for p in px], np.uint8).reshape(-1, 1, 3)
-        return pd.DataFrame(pixels.to_hsv(rgb[..., ::-1])[:, 0].astype(int), columns=["hue", "saturation", "value"])
-
-    return picture_frames(spark, sf_dir).select("i", convert("px").alias("c")).select("i", "c.*")
+    return images.content_boxes(picture_frames(spark, sf_dir), samples=3, threshold=250)
 
 
 @query("SELECT p_partkey AS part, 100 * (1 - (p_size * 10)::DOUBLE * 480 / (640 * 480)) AS matte FROM part")
 def matte_pct(spark, sf_dir):
     """The share of a 640 x 480 frame outside a content box, in percent."""
-    box = F.col("p_size") * 10
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (100 * (1 - box.cast("double") * 480 / (640 * 480))).alias("matte"))
+    share = pixels.matte_percent(F.col("p_size") * 10, F.lit(480), F.lit(640), F.lit(480))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), share.alias("matte"))
 
 
 # Text.
@@ -506,14 +506,17 @@ def restored_flag(spark, sf_dir):
     return _stills(spark, sf_dir)[0].select("file", "restored")
 
 
-@query(_with(_STILLS, "SELECT count(*) FILTER (frame IS NULL) AS unnamed, count(*) FILTER (frame IS NOT NULL AND t IS NULL) AS unmatched FROM stills", False))
+_SOME = "coalesce(list(file ORDER BY file) FILTER ({}), [])[1:3]"
+
+
+@query(_with(_STILLS, f"SELECT count(*) FILTER (frame IS NULL) AS unnamed, count(*) FILTER (frame IS NOT NULL AND t IS NULL) AS unmatched, {_SOME.format('frame IS NULL')} AS unnamed_files, {_SOME.format('frame IS NOT NULL AND t IS NULL')} AS unmatched_files FROM stills", False))
 def provenance_gaps(spark, sf_dir):
-    return _stills(spark, sf_dir)[0].agg(F.count_if(F.col("frame").isNull()).alias("unnamed"), F.count_if(F.col("frame").isNotNull() & F.col("t").isNull()).alias("unmatched"))
+    return stills.provenance_gaps(_stills(spark, sf_dir)[0])
 
 
 @query(_with(_STILLS, "SELECT sheet, count(*) AS stills, count(*) FILTER (NOT restored) AS raw, count(*) FILTER (t IS NOT NULL) AS with_provenance FROM stills GROUP BY sheet", False))
 def manifest_counts(spark, sf_dir):
-    return _stills(spark, sf_dir)[0].groupBy("sheet").agg(F.count("*").alias("stills"), F.count_if(~F.col("restored")).alias("raw"), F.count_if(F.col("t").isNotNull()).alias("with_provenance"))
+    return stills.manifest_counts(_stills(spark, sf_dir)[0], "sheet")
 
 
 @query(_with(f"{_STILLS}, m AS (SELECT file, restored, bool_or(restored) OVER (PARTITION BY sheet) AND bool_or(NOT restored) OVER (PARTITION BY sheet) AS mixed FROM stills)", "SELECT file, CASE WHEN mixed THEN CASE WHEN restored THEN 'upscaled' ELSE 'source' END END AS variant FROM m", False))
@@ -529,10 +532,9 @@ def group_variants(spark, sf_dir):
     return stills.group_variants(parsed)
 
 
-@query(_with(f"{_FRAMES}, p AS (SELECT video_id, i AS frame FROM frames WHERE i % 10 = 0)", "SELECT video_id, frame, unnest([42, 43, 44])::INT AS seed FROM p"))
+@query(_with(_INTERVAL, "SELECT video_id, frame, unnest([42, 43, 44])::INT AS seed FROM picks"))
 def seed_variants(spark, sf_dir):
-    picks = event_frames(spark, sf_dir).filter("i % 10 = 0").select("video_id", F.col("i").alias("frame"))
-    return stills.seed_variants(picks, 42, 3).select("video_id", "frame", "seed")
+    return stills.seed_variants(sharpest_per_interval(spark, sf_dir), 42, 3).select("video_id", "frame", "seed")
 
 
 @query(_with(f"{_STILLS}, have AS (SELECT file, coalesce(restored, true) AS r FROM was)", "SELECT n.file, CASE WHEN h.file IS NULL THEN 'todo' WHEN NOT h.r THEN 'stale' ELSE 'done' END AS state FROM named n LEFT JOIN have h ON h.file = n.file", False))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from stillflow.sources.images import FRAME
+
 #: Frames that are worth a partition of their own.
 LEAST_FRAMES = 100
 
@@ -70,7 +72,7 @@ class VideoReader(DataSourceReader):
             fine, frame = capture.read()
             if not fine:
                 break
-            yield (partition.path, i, round(i / fps, 4), frame.shape[0], frame.shape[1], frame.tobytes())
+            yield (partition.path, i, round(i / fps, 4), fps, frame.shape[0], frame.shape[1], frame.tobytes())
             i += 1
         capture.release()
 
@@ -88,7 +90,7 @@ class VideoSource(DataSource):
         return "frames_of_video"
 
     def schema(self) -> str:
-        return "video_id string, i int, t double, height int, width int, data binary"
+        return FRAME
 
     def reader(self, schema) -> VideoReader:
         return VideoReader(self.options)

@@ -34,8 +34,7 @@ def scanned(spark):
 
 def picks(scanned, by_number=False, **more):
     o = selection.Options(fps=25.0, **more)
-    judged = selection.judge_frames(scanned[0], scanned[1], o)
-    rows = selection.select_scene(judged, scanned[1], o, by_number).orderBy("frame").collect()
+    rows = selection.select_scene(selection.judge_frames(scanned[0], o), o, by_number).orderBy("frame").collect()
     return [r.frame for r in rows], sum(r.filled for r in rows)
 
 
@@ -47,7 +46,7 @@ def test_scenes(scanned):
 
 @pytest.mark.parametrize("frac, soft, left", [(0.35, 0, 280), (0.75, 138, 142)])
 def test_weak_frames(scanned, frac, soft, left):
-    judged = selection.judge_frames(*scanned, selection.Options(fps=25.0, min_sharpness_frac=frac))
+    judged = selection.judge_frames(scanned[0], selection.Options(fps=25.0, min_sharpness_frac=frac))
     r = selection.weak_counts(judged).first()
     assert (r.too_dark, r.blown_highlights, r.too_soft, r.eligible_frames) == (5, 3, soft, left)
 
@@ -86,10 +85,10 @@ def test_picks_keep_their_distance(spark):
     placed = scenes.assign_scenes(frames, scenes.scene_bounds(frames))
     stats = scenes.scene_stats(placed)
     o = selection.Options(fps=25.0, seconds_per_still=0.5)
-    judged = selection.judge_frames(placed, stats, o)
-    gaps = {r.scene: r.gap for r in selection.scene_gap(selection.scene_quota(judged, stats, o), stats, o).collect()}
+    judged = selection.judge_frames(placed, o)
+    gaps = {r.scene: r.gap for r in selection.scene_gap(judged, o).collect()}
     bounds = {r.id: (r.start, r.end) for r in stats.collect()}
-    out = selection.select_scene(judged, stats, o).collect()
+    out = selection.select_scene(judged, o).collect()
     assert {r.scene for r in out} == set(gaps)
     for a in out:
         assert bounds[a.scene][0] <= a.window[0] and a.window[1] <= bounds[a.scene][1]
@@ -101,7 +100,7 @@ def test_picks_keep_their_distance(spark):
 
 @pytest.mark.parametrize("interval, frames, unsafe", [(2.0, [30, 60, 131, 161, 232, 262], 0), (0.1, [2, 4, 5, 8, 10, 13], 3)])
 def test_interval_picks(scanned, interval, frames, unsafe):
-    rows = selection.select_interval(*scanned, interval).orderBy("bucket").collect()
+    rows = selection.select_interval(scanned[0], interval).orderBy("bucket").collect()
     assert [r.frame for r in rows][:6] == frames and sum(r.unsafe for r in rows) == unsafe
     assert interval != 0.1 or len(rows) == 120
 
@@ -163,11 +162,53 @@ def test_hashes(spark):
 def test_quota(spark):
     o = selection.Options(fps=25.0)
     spans = [2, 6, 7, 10, 14, 35]
-    stats = spark.createDataFrame([(1, k, 1000 * k, 1000 * k + 25 * s - 1) for k, s in enumerate(spans)], "video_id int, id int, start int, end int")
-    judged = stats.select("video_id", F.col("id").alias("scene"), F.explode(F.sequence(F.col("start") + 2, F.col("end") - 2)).alias("pos"), F.lit(True).alias("safe"), F.lit(None).cast("string").alias("weak"))
-    quota = selection.scene_quota(judged, stats, o)
-    assert [r.quota for r in quota.orderBy("scene").collect()] == [1, 2, 2, 2, 4, 8]
-    assert selection.scene_gap(quota, stats, o).filter("scene = 5").first().gap == 21
+    spans_ = spark.createDataFrame([(1, k, 1000 * k, 1000 * k + 25 * s - 1) for k, s in enumerate(spans)], "video_id int, scene int, start int, end int")
+    frames = spans_.select("video_id", "scene", F.explode(F.sequence("start", "end")).alias("pos")).withColumns({"i": F.col("pos"), "sharpness": F.lit(1.0), "luma": F.lit(99.0), "highlight_frac": F.lit(0.0)})
+    judged = selection.judge_frames(frames, o)
+    assert [r.quota for r in selection.scene_quota(judged, o).orderBy("scene").collect()] == [1, 2, 2, 2, 4, 8]
+    assert selection.scene_gap(judged, o).filter("scene = 5").first().gap == 21
+    dark = selection.judge_frames(frames.withColumn("luma", F.when(F.col("scene") == 1, 1.0).otherwise(99.0)), o)
+    assert selection.select_stats(dark, o).first().scenes_unusable == [1] and selection.scene_quota(dark, o).count() == 5
+
+
+def test_selection_reads_its_frames_twice_at_most(spark, sf):
+    """Once for scene bounds, once for what is chosen by them; scene facts are windows on the same shuffle."""
+    from stillflow.plans.registry import QUERIES
+
+    for name, scans in (("select_scene", 2), ("slice_candidates", 2), ("weak_frames", 2), ("sharpest_per_interval", 2), ("restore_window", 3)):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan parquet") <= scans, name
+
+
+def test_closest_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(v, int(f), int(h)) for v in (1, 2) for f, h in zip(rng.permutation(40), rng.integers(-(2**63), 2**63 - 1, 40), strict=True)] + [(3, 1, 1)]
+    got = {r.video_id: (r.d, r.fa, r.fb) for r in selection.closest_pairs(spark.createDataFrame(rows, "video_id long, frame int, dhash long")).collect()}
+    for v in (1, 2):
+        some = sorted((f, h) for w, f, h in rows if w == v)
+        assert got[v] == min((bin((h ^ k) & (2**64 - 1)).count("1"), f, g) for f, h in some for g, k in some if f < g)
+    assert set(got) == {1, 2}
+
+
+def test_segments_hold_frames_with_gaps(spark):
+    """Segments that begin or end at frames that are missing, or hold none."""
+    frames = spark.createDataFrame([(v, i, 9.0) for v in (1, 2) for i in range(0, 40, 3)], "video_id int, i int, delta double")
+    parts = spark.createDataFrame([(1, 0, 4, 8), (1, 1, 10, 11), (1, 2, 20, 31), (2, 0, 38, 90)], "video_id int, seg int, start int, stop int")
+    got = [(r.video_id, r.seg, r.i, r.pos, r.delta) for r in scenes.in_segments(frames, parts).orderBy("video_id", "i").collect()]
+    assert got == [(1, 0, 6, 0, 0.0), (1, 2, 21, 1, 0.0), (1, 2, 24, 2, 9.0), (1, 2, 27, 3, 9.0), (1, 2, 30, 4, 9.0), (2, 0, 39, 0, 0.0)]
+
+
+def test_kernels_by_hand():
+    assert pixels.laplacian_variance(np.array([[0, 0, 0], [0, 9, 0], [0, 0, 0]], np.uint8)) == np.var([[0, 18, 0], [18, -36, 18], [0, 18, 0]])
+    assert pixels.laplacian_variance(np.array([[7]], np.uint8)) == 0.0
+    colours = np.array([[[0, 0, 255], [0, 255, 0], [255, 0, 0], [0, 255, 255], [128, 128, 128], [0, 0, 0], [64, 0, 128]]], np.uint8)
+    assert pixels.to_hsv(colours)[0].tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [30, 255, 255], [0, 0, 128], [0, 0, 0], [165, 255, 128]]
+    assert pixels.to_gray(colours)[0].tolist() == [76, 150, 29, 226, 128, 0, 46]
+    ramp = np.arange(0, 80, 10, dtype=np.uint8).reshape(1, 8)
+    assert pixels.bilinear_resize(ramp, 4, 1).tolist() == [[5, 25, 45, 65]] and pixels.bilinear_resize(ramp, 8, 1).tolist() == ramp.tolist()
+    assert pixels.area_resize(ramp, 2, 1).tolist() == [[15.0, 55.0]] and pixels.area_resize(ramp[:, :3], 2, 1).tolist() == [[10 / 3, 50 / 3]]
+    assert pixels.crop(np.arange(12).reshape(3, 4), (1, 1, 2, 2)).tolist() == [[5, 6], [9, 10]]
+    assert pixels.content_box(np.array([[0, 0, 0], [0, 20, 0], [0, 99, 17]])) == (1, 1, 2, 2) and pixels.content_box(np.zeros((2, 3))) == (0, 0, 3, 2)
 
 
 @pytest.fixture(scope="module")
@@ -188,7 +229,7 @@ def test_png_sequence_end_to_end(spark, sequence):
     assert (box.x, box.y, box.w, box.h) == (8, 0, 80, 64)
     some = [images.measure(frames, (8, 0, 80, 64), chunk).orderBy("i").collect() for chunk in (7, 60)]
     assert some[0] == some[1]
-    metrics = spark.createDataFrame(some[1]).withColumn("t", F.col("i") / 25.0)
+    metrics = spark.createDataFrame(some[1])
     bounds = scenes.scene_bounds(scenes.with_position(metrics)).orderBy("id").collect()
     assert [(r.start, r.end) for r in bounds] == [(0, 29), (30, 59)]
     chosen = spark.createDataFrame([(sequence, 10), (sequence, 0)], "video_id string, frame int")
@@ -197,10 +238,95 @@ def test_png_sequence_end_to_end(spark, sequence):
     stack = np.stack([np.frombuffer(m.data, np.uint8).reshape(m.height, m.width, 3) for m in windows[10].members])
     assert (restore.Centre().restore(stack) == stack[2]).all()
     assert restore.Median().restore(stack).shape == restore.Mean().restore(stack).shape == (64, 96, 3)
+    assert restore.Mean().restore(stack, resolution=32).shape == (32, 48, 3)
     with pytest.raises(ValueError):
         restore.Centre().restore(stack[:4])
     with pytest.raises(RuntimeError):
         restore.External().restore(stack)
+    for model, unknown in ((restore.Mean(), {"seed": 1}), (restore.External(seed_tint()), {"cfg": 1})):
+        with pytest.raises(TypeError):
+            model.restore(stack, **unknown)
+
+
+def seed_tint():
+    """A factory, made where it is called, so that workers need no module of the tests."""
+
+    class SeedTint:
+        """A model for tests: the middle frame, its red set to the seed, its green to ten times cfg_scale."""
+
+        def __init__(self, **options):
+            self.options = options
+
+        def restore(self, frames, seed, cfg_scale, **parameters):
+            assert sorted(parameters) == ["color_correction", "input_noise_scale", "latent_noise_scale", "resolution"]
+            out = frames[len(frames) // 2].copy()
+            out[..., 0], out[..., 1] = seed, int(10 * cfg_scale)
+            return out
+
+    return SeedTint
+
+
+def test_a_source_of_thirty_frames_a_second(spark, sequence):
+    from stillflow import pipeline
+
+    made = pipeline.scan(spark, sequence, fps=30.0, segments=[(0.5, 1.5)])
+    assert made["video"]["fps"] == 30.0 and [f["i"] for f in made["frames"]] == list(range(15, 46)) and made["frames"][0]["t"] == 0.5
+    # What the frames say holds, not the default.
+    frames = images.png_frames(spark, sequence, 30.0)
+    assert images.measure(frames).filter("i = 45").first().t == 1.5
+    chosen = pipeline.select(spark, made, interval=0.5, min_luma=0)
+    assert all(p["t"] == round(p["frame"] / 30, 4) for p in chosen["picks"]) and chosen["select"]["closest_pair"]["frames"]
+
+
+@pytest.mark.parametrize("method", [restore.Mean(), restore.Median(), restore.Centre(), restore.External(seed_tint())])
+def test_seeds_with_each_method(spark, sequence, tmp_path, method):
+    from stillflow import pipeline
+
+    options = {"interval": 1.2, "min_luma": 0, "seeds": 2, "seed": 7, "restorer": method}
+    if not method.takes_seed:
+        with pytest.raises(ValueError, match="every seed"):
+            pipeline.run(spark, sequence, str(tmp_path), **options)
+        with pytest.raises(ValueError, match="every seed"):
+            pipeline.restore_folder(spark, sequence, method, 9, seeds=2)
+        return
+    done = pipeline.run(spark, sequence, str(tmp_path), parameters={"cfg_scale": 3.0}, layout={"columns": 2, "quality": 60}, **options)
+    assert {f.split("_seed")[1] for f in done["written"]} == {"7.png", "8.png"}
+    made = json.loads((tmp_path / "manifest.json").read_text())
+    assert made["restore_params"] == {"method": "external", **restore.PARAMETERS, "cfg_scale": 3.0, "seed": 7, "seeds": 2}
+    got = {r.file.rsplit("/", 1)[1]: r.data for r in spark.read.format("image").load(str(tmp_path / "stills")).select("image.origin", "image.data").toDF("file", "data").collect()}
+    assert all(set(data[1::3]) == {30} and set(data[2::3]) == {int(f.split("_seed")[1][0])} for f, data in got.items())
+    # Nothing to do: what was said of the stills stays.
+    assert pipeline.run(spark, sequence, str(tmp_path), parameters={"cfg_scale": 3.0}, **options)["written"] == []
+    assert json.loads((tmp_path / "manifest.json").read_text())["restore_params"] == made["restore_params"]
+
+
+def test_errors_stay_with_their_stills(spark, sequence, tmp_path):
+    from stillflow import pipeline
+
+    class Picky(restore.Centre):
+        def merge(self, frames):
+            if frames.mean(axis=(0, 1, 2))[0] > 100:  # red, as in the second scene
+                raise ValueError("too red")
+            return super().merge(frames)
+
+    with pytest.raises(RuntimeError, match="of 2 stills failed.*too red"):
+        pipeline.run(spark, sequence, str(tmp_path), interval=1.2, restorer=Picky(), min_luma=0)
+    assert len([p for p in (tmp_path / "stills").iterdir() if p.name.endswith(".png")]) == 1
+
+
+def test_restoring_a_folder(spark, sequence, tmp_path):
+    from stillflow import cli
+
+    out = str(tmp_path / "one.png")
+    assert cli.main(["restore", sequence, "--window", "9", "--crop_pillarbox", "--method", "mean", "--out", out]) == 0
+    size = spark.read.format("image").load(out).select("image.width", "image.height").first()
+    assert tuple(size) == (80, 64)
+    assert cli.main(["restore", sequence, "--window", "5", "--resolution", "32", "--method", "median", "--out", out, "--quiet"]) == 0
+    assert tuple(spark.read.format("image").load(out).select("image.width", "image.height").first()) == (48, 32)
+    with pytest.raises(SystemExit, match="does not take cfg_scale"):
+        cli.main(["restore", sequence, "--method", "mean", "--cfg_scale", "2"])
+    with pytest.raises(SystemExit):
+        cli.main(["restore", sequence, "--color_correction", "sepia"])
 
 
 def test_contact_sheet(spark, sequence, tmp_path):
@@ -300,4 +426,29 @@ def test_run_resumes(spark, sequence, tmp_path):
     assert len(pipeline.run_quick_preview(spark, sequence, out, 6)) == 6
     assert names.parse_still_name is not None and not any("_s0" in p.name for p in (tmp_path / "out" / "preview").iterdir())
     assert list(pipeline.run_folder(spark, [sequence, str(tmp_path / "none")], str(tmp_path / "all"), interval=1.0).values())[0] == "done"
-    assert cli.main(["doctor"]) == 0
+    assert cli.main(["doctor"]) == 0 and cli.main(["doctor", "--factory", "nowhere:nothing"]) == 1
+
+
+def test_reports_of_commands(spark, sequence, tmp_path, capsys):
+    from stillflow import cli
+
+    scan, chosen = str(tmp_path / "a.scan.json"), str(tmp_path / "a.select.json")
+    assert cli.main(["scan", sequence, "--out", scan, "--show_scenes", "1", "--workers", "2"]) == 0
+    said = capsys.readouterr().out
+    assert "60 frames, 96x64 at 25 a second, 2.4 s" in said and "content 80x64 at (8, 0), 16.7 % bars" in said and "scene 0:" in said and "and 1 more" in said
+    assert cli.main(["select", scan, "--seconds_per_still", "0.4", "--min_luma", "0", "--hash_distance", "0"]) == 0
+    said = capsys.readouterr().out
+    assert "eligible frames" in said and "closest pair" in said and "quota by scene" in said
+    assert cli.main(["run", sequence, "--out", str(tmp_path / "out"), "--preview", "3", "--interval", "0.8", "--min_luma", "0"]) == 0
+    assert (tmp_path / "out" / "work" / "scan.json").exists() and "stills written" in capsys.readouterr().out
+    folder = tmp_path / "out" / "stills"
+    (folder / "odd.png").write_bytes(next(p for p in folder.iterdir() if p.name.endswith(".png")).read_bytes())
+    assert cli.main(["sheet", str(folder), "--selection", chosen, "--quality", "40", "--title", "mine", "--columns", "2", "--manifest", str(tmp_path / "m.json")]) == 0
+    said = capsys.readouterr().out
+    assert "warning: 1 stills do not tell their frame by name: odd.png" in said and "4 stills" in said
+    assert cli.main(["scan", sequence, "--out", scan, "--quiet", "--no_content_box"]) == 0 and capsys.readouterr().out == ""
+    made = json.loads(open(scan).read())
+    assert made["content_box"] == {"x": 0, "y": 0, "w": 96, "h": 64}
+    with pytest.raises(SystemExit):
+        cli.main(["sheet", str(folder), "--selection", scan])
+    assert cli.configured(["run", "--min_luma=24", "--out", "x", "--columns", "2"]) == {"min_luma"}
