@@ -1,22 +1,26 @@
 r"""Near-duplicates by b-bit MinHash.
 
 Texts with the same word sequence form one class. Each class has minima of its distinct five-word shingles; bands of
-minima give candidates; the low bits of all minima, packed, estimate similarity by bit counts; full shingle sets
-confirm what the estimate leaves. Components are found over confirmed links.
+minima give candidates; the low bits of all minima, packed plane by plane, estimate similarity by bit counts, corrected
+for bits that agree by chance; full shingle sets confirm what the estimate leaves. Components are found over confirmed
+links. A pair at the threshold shares no band with probability 5e-6, and is estimated below LEAST_ESTIMATE with 3e-7.
 
 Hot buckets: a bucket (a band's value) may hold thousands of near copies. Links of a bucket are first sought with its
 best-connected member alone, so such a group costs one pair a member. Only pairs that are still in different
-components after that are compared with each other: in blocks of bounded size, by bit counts first and by full sets
-after, in the same place, so that only links that join components leave a block. No pair is dropped for the size of its
-bucket.
-
-Defined cases. A null or word-less text has n_shingles 0 and its own component. Rows that repeat a doc_id are one
-document and link their texts. A row with a null doc_id takes part in links but never names a component; where none of
-a component's rows has an id, component_id is null and the rows are kept. Other columns are not read.
+components after that are compared with each other: in blocks of bounded size and like numbers of shingles, by bit
+counts first and by full sets after, in the same place, so that only links that join components leave a block. No pair is
+dropped for the size of its bucket; sets too unlike in size to be linked do not meet.
+
+Defined cases. A null or word-less text has n_shingles 0 and its own component. A very long text has all its shingles; of
+blocks it may be one alone. Rows that repeat a doc_id are one document and link their texts. A row with a null doc_id
+takes part in links but never names a component; where none of a component's rows has an id, component_id is null and
+the rows are kept. Ties, of members as well connected, go to the larger hash. An empty table gives an empty result. Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +34,8 @@ from stillflow.llm.words import mix, sequence_hash, shingles, split_words
 
 SHINGLE_WORDS = 5
 ROWS, BANDS = 4, 32
-#: Low bits of each minimum that the packed signature keeps; one byte a minimum, so that bit counts run on whole bytes.
-B_BITS = 8
+#: Low bits of each minimum that the packed signature keeps: a plane of bits for each.
+B_BITS = 4
 #: Pairs whose estimate is below are not confirmed: five standard errors of 128 minima under 0.75.
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that one task compares with as many others.
@@ -40,7 +44,7 @@ BLOCK = 512
 BLOCK_SHINGLES = 1 << 18
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_SIGNATURE = "doc_id long, id long, n_shingles long, bands array<long>, bits binary"
+_SIGNATURE = "doc_id long, text_hash long, id long, n_shingles long, bands array<long>, bits binary"
 
 
 def minima(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -54,6 +58,16 @@ def minima(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(low: np.ndarray) -> np.ndarray:
+    """The B_BITS low bits of each signature's minima: 64-bit words by signature, bit and minimum."""
+    planes = np.stack([np.packbits((low >> np.uint32(j)) & np.uint32(1), axis=1) for j in range(B_BITS)], 1)
+    return np.ascontiguousarray(planes).view(np.uint64)
+
+
+def unpacked(signatures: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, B_BITS, ROWS * BANDS // 64)
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band of each signature."""
     with np.errstate(over="ignore"):
@@ -75,37 +89,39 @@ def _signatures(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(full):
             starts = np.append(first[:-1][full], first[-1])
             low = minima(values, starts)
-            key, packed = band_keys(low).view(np.int64), (low & np.uint32(255)).astype(np.uint8)
+            key, planes = band_keys(low).view(np.int64), packed(low)
             for i, at in enumerate(full):
-                bands[at], bits[at] = key[i], packed[i].tobytes()
+                bands[at], bits[at] = key[i], planes[i].tobytes()
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").cast(pa.int64()),
+                batch.column("doc_id"),
+                batch.column("text_hash"),
                 pa.array(sequence_hash(words, 11).view(np.int64)),
                 pa.array(count, pa.int64()),
                 pa.array(bands, pa.list_(pa.int64())),
                 pa.array(bits, pa.binary()),
             ],
-            ["doc_id", "id", "n_shingles", "bands", "bits"],
+            ["doc_id", "text_hash", "id", "n_shingles", "bands", "bits"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, id (a 64-bit hash of the word sequence: one node for each), n_shingles, bands, bits (the packed low bits) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, _SIGNATURE)
+    """doc_id, text_hash, id (a 64-bit hash of the word sequence: one node for each), n_shingles, bands, bits (the packed low bits) of every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_signatures, _SIGNATURE)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of signatures (rows of bytes), corrected for the minima whose low bits agree by chance."""
-    same = (a == b).mean(-1)
+    """Similarity of packed signatures: minima agree where no plane differs, which bits counts tell; corrected for those that agree by chance."""
+    apart = np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=-2)).sum(-1, dtype=np.int64)
     chance = 2.0**-B_BITS
-    return (same - chance) / (1 - chance)
+    return (1 - apart / (ROWS * BANDS) - chance) / (1 - chance)
 
 
 def _promising(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, ROWS * BANDS) for c in ("bits_a", "bits_b"))
+            a, b = (unpacked(batch.column(c).to_pylist()) for c in ("bits_a", "bits_b"))
             yield batch.filter(pa.array(estimate(a, b) >= LEAST_ESTIMATE)).select(["a", "b"])
 
 
@@ -174,7 +190,7 @@ def _block_candidates(threshold: int):
             t = rows.filter(pc.equal(rows.column("side"), side))
             sides.append(
                 {c: t.column(c).to_numpy() for c in ("id", "label", "n")}
-                | {"bits": np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, ROWS * BANDS), "bands": np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)}
+                | {"bits": unpacked(t.column("bits").to_pylist()), "bands": np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)}
             )
         a, b = (sides[0], sides[0]) if key[1].as_py() == key[2].as_py() else sides
         found: set[int] = set()
@@ -186,7 +202,7 @@ def _block_candidates(threshold: int):
                 found.add(int(a["id"][i]))
                 found.update(b["id"][at].tolist())
         ids = pa.array(sorted(found), pa.int64())
-        return pa.table({"key": pa.array([key[0].as_py()] * len(ids), pa.int64()), "x": pa.array([key[1].as_py()] * len(ids), pa.int32()), "y": pa.array([key[2].as_py()] * len(ids), pa.int32()), "id": ids})
+        return pa.table({"key": pa.array([key[0].as_py()] * len(ids), pa.int64()), "x": pa.array([key[1].as_py()] * len(ids), pa.int64()), "y": pa.array([key[2].as_py()] * len(ids), pa.int64()), "id": ids})
 
     return compare
 
@@ -236,22 +252,29 @@ def _block_links(threshold: int):
 
 def rest_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Links across components within each bucket (members: key, id, label), found and confirmed block by block."""
-    sized = members.join(nodes.select("id", F.col("n_shingles").alias("n"), "bits", "bands"), "id")
-    # A member's block is a hash of its id; blocks are as many as keep members and shingles of a block few.
+    # Sets of two classes that are not neighbours differ more in size than links allow.
+    size_class = F.floor(F.ln("n") / math.log(100.1 / threshold)).cast("int")
+    sized = members.join(nodes.select("id", F.col("n_shingles").alias("n"), "bits", "bands"), "id").withColumn("class", size_class)
+    # A member's block, among those of its class in the bucket, is a hash of its id; blocks are as many as keep members and shingles of a block few.
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    dealt = sized.join(sized.groupBy("key").agg(blocks), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    with_all = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
-    sided = with_all.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side, "id", "label", "n", "bits", "bands")
-    candidates = written(sided.groupBy("key", "x", "y").applyInArrow(_block_candidates(threshold), "key long, x int, y int, id long"), "near-candidates")
+    counted = written(sized.groupBy("key", "class").agg(blocks), "near-blocks")
+    number = lambda c, b: F.shiftleft(F.col(c).cast("long"), 32) + F.col(b)
+    dealt = sized.join(counted, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    around = counted.select("key", F.col("class").alias("near"), "blocks", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"))
+    with_all = dealt.join(around, ["key", "class"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    with_all = with_all.withColumns({"own": number("class", "block"), "other": number("near", "b")})
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    sided = with_all.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side, "id", "label", "n", "bits", "bands")
+    candidates = written(sided.groupBy("key", "x", "y").applyInArrow(_block_candidates(threshold), "key long, x long, y long, id long"), "near-candidates")
     sets = sets_of(candidates.select("id").distinct(), nodes, docs)
     labels = members.select("id", "label").distinct()
     return candidates.join(labels, "id").join(sets, "id").groupBy("key", "x", "y").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text): links are pairs with
-    100 * intersection >= threshold * union of their distinct shingles; component_id is the smallest doc_id reachable.
+    """doc_id, n_shingles, component_id, kept, group_id, text_hash for every row of docs (doc_id, text): links are pairs with
+    100 * intersection >= threshold * union of their distinct shingles; component_id is the smallest doc_id reachable, group_id
+    a number of the component that rows without ids have, too (null without words), text_hash xxhash64 of the text.
 
     rounds: how often a bucket's best-connected member is compared before what remains is compared in blocks. The work
     is done at once; the result is a table of its own, and the tables that led to it are removed.
@@ -273,7 +296,7 @@ def _near_duplicates(docs: DataFrame, threshold: int, rounds: int) -> DataFrame:
     # Rows that repeat a doc_id link the nodes of their texts.
     repeated = worded.filter("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     links = written(worded.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).filter("a <> b").distinct(), "near-links")
-    labels = nodes.select("id", F.col("id").alias("label"))
+    labels = nodes.select("id", F.col("id").alias("label")) if links.isEmpty() else written(components(nodes, links), "near-components")
     for turn in range(rounds + 1):
         placed = buckets.join(labels, "id")
         top = F.max(F.struct("degree", "id", "label")).alias("top")
@@ -294,7 +317,7 @@ def _near_duplicates(docs: DataFrame, threshold: int, rounds: int) -> DataFrame:
         buckets = buckets.join(was, ["key", "id"], "left").select("key", "id", F.when(F.col("was").isNull(), F.col("degree")).otherwise(0).alias("degree"))
     named = nodes.select("id", "doc_id").join(labels, "id")
     component = named.groupBy("label").agg(F.min("doc_id").alias("least"))
-    of_node = named.join(component, "label").select("id", "least")
+    of_node = named.join(component, "label").select("id", "least", F.col("label").alias("group_id"))
     joined = signed.join(of_node, "id", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, component_id.isNull()).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, component_id.isNull()).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("group_id")).alias("group_id"), "text_hash")

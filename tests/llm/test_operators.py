@@ -824,6 +824,15 @@ def test_near_duplicates_in_hot_groups(spark, edits, hub, monkeypatch):
     check_components(table(spark, near_group(70, edits, hub)))
 
 
+def test_near_duplicates_of_many_sizes_in_one_bucket(spark, monkeypatch):
+    """Texts that share a long passage and differ in length: blocks of neighbouring sizes meet, others need not."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(90)]
+    texts = [" ".join(passage + [f"t{j}_{k % 5}_{rng.randint(0, 1)}" for j in range(rng.randint(0, 120))]) for k in range(90)]
+    check_components(table(spark, texts))
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue cyan pink grey")
     docs = table(spark, [a, b, a, c, c, None], ids=[1, 1, 4, None, None, 9])
@@ -831,6 +840,12 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (4, 2, 1, False), (None, 2, None, True), (None, 2, None, True), (9, 0, 9, True)], key=repr)
 
 
+def test_repeated_ids_link_texts_that_share_nothing(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    rows = near_dup.near_duplicates(table(spark, [a, b, a, b], ids=[1, 1, 0, 5])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 0), (0, 0), (5, 0)} and len({r.group_id for r in rows}) == 1
+
+
 def test_common_counts():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(25)]
@@ -848,5 +863,20 @@ def test_estimates_follow_similarity():
         n = int(2000 * share)
         other = np.concatenate([base[:n], rng.integers(0, 2**63, 2000 - n).astype(np.uint64)])
         low = near_dup.minima(np.concatenate([base, other]), np.array([0, 2000, 4000]))
-        bits = (low & np.uint32(255)).astype(np.uint8)
+        bits = near_dup.packed(low)
+        assert bits.shape == (2, near_dup.B_BITS, 2) and (near_dup.unpacked([b.tobytes() for b in bits]) == bits).all()
+        mask = np.uint32((1 << near_dup.B_BITS) - 1)
+        same, chance = ((low[0] & mask) == (low[1] & mask)).mean(), 2.0**-near_dup.B_BITS
+        assert near_dup.estimate(bits[0], bits[1]) == pytest.approx((same - chance) / (1 - chance))
         assert abs(near_dup.estimate(bits[0], bits[1]) - n / (4000 - n)) < 0.15
+
+
+def test_estimates_of_pairs_at_the_threshold_are_not_too_low():
+    """Of 400 pairs of similarity 0.75 none is lost by its estimate, and the estimates' mean is right."""
+    rng = np.random.default_rng(11)
+    values = rng.integers(0, 2**63, (400, 700)).astype(np.uint64)
+    a, b, common = values[:, :600], values[:, 86:686], 514
+    low = near_dup.minima(np.concatenate([a.ravel(), b.ravel()]), np.arange(0, 2 * 400 * 600 + 1, 600))
+    bits = near_dup.packed(low)
+    got = near_dup.estimate(bits[:400], bits[400:])
+    assert got.min() >= near_dup.LEAST_ESTIMATE and abs(got.mean() - common / (1200 - common)) < 0.01
