@@ -53,7 +53,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.train(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query

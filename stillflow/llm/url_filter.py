@@ -6,9 +6,13 @@ judges; a bounded sample of them (MAX_LABELLED rows, by a hash of the URL) is co
 rows, go to the driver, where the trees are grown. The trees are symmetric: every level of a tree asks one question, so
 a tree is one array look-up by the bits of its answers and stays inside generated code.
 
+Suffix statistics are those of every suffix in the sample, drawn to the base rate, so that a rare suffix tells little.
+
 Defined cases. A null URL or one without :// has an empty host and path, fits no rule, and is judged by the trees on
-its empty features. Without labels of both kinds the method allows all that no rule blocks. Equal URLs are judged
-alike; repeated rows are kept. Columns other than url are passed through; added columns replace those of their names.
+its empty features. A very long URL is read whole. Without labels of both kinds the method allows all that no rule blocks;
+of rules as long (ties) the last by name counts, of splits as good the first. Equal URLs are judged alike; repeated rows
+are kept, and an empty table gives an empty result. Columns other than url are passed through; added columns replace
+those of their names.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled URLs that trees are grown from, at most; suffixes with statistics of their own, at most.
-MAX_LABELLED, MAX_SUFFIXES = 200_000, 1_000
+from stillflow.llm.common import scratch, written
+
+#: Labelled URLs that trees are grown from, at most; suffix statistics have as many rows at most.
+MAX_LABELLED = 200_000
+#: URLs of the base rate that a suffix counts beside its own.
+PRIOR = 10
 TREES, LEVELS, RATE, BINS = 24, 3, 0.3, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "dashes", "suffix_rate")
@@ -103,21 +111,23 @@ def lexical_features(pages: DataFrame) -> DataFrame:
 
 @dataclass
 class Forest:
-    """suffix_rates: share of blocked URLs of known suffixes; edges: of each feature's bins; trees: (questions, leaves),
+    """suffixes: suffix, n, k (URLs and blocked ones of the sample); edges: of each feature's bins; trees: (questions, leaves),
     a question being (feature, bin): is the feature's bin beyond it?"""
 
     base_rate: float = 0.0
-    suffix_rates: dict[str, float] = field(default_factory=dict)
+    suffixes: DataFrame | None = None
     edges: dict[str, list[float]] = field(default_factory=dict)
     base: float = -1.0
     trees: list[tuple[list[tuple[str, int]], list[float]]] = field(default_factory=list)
 
-    def suffix_rate(self) -> Column:
-        rate = F.lit(self.base_rate)
-        if not self.suffix_rates:
-            return rate
-        known = F.create_map(*(F.lit(x) for kv in self.suffix_rates.items() for x in kv))
-        return F.coalesce(F.try_element_at(known, F.col("suffix")), rate)
+    def rated(self, seen: DataFrame) -> DataFrame:
+        """seen (with suffix) and suffix_rate: the share of blocked URLs of the suffix."""
+        if self.suffixes is None:
+            return seen.withColumn("suffix_rate", F.lit(self.base_rate))
+        rate = (F.col("k") + PRIOR * self.base_rate) / (F.col("n") + PRIOR)
+        # The sample's bound is the table's.
+        known = F.broadcast(self.suffixes.select("suffix", rate.alias("_rate")))
+        return seen.join(known, "suffix", "left").withColumn("suffix_rate", F.coalesce("_rate", F.lit(self.base_rate))).drop("_rate")
 
     def score(self) -> Column:
         """Log-odds of block, of the features' columns."""
@@ -171,13 +181,12 @@ def train(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, bound: int =
         share = int(bound / total * 2**62)
         labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(2**62)) < share)
     sample = lexical_features(labelled)
-    suffixes = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("blocked").alias("k")).orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES).collect()
-    n, k = sum(r.n for r in suffixes), sum(r.k for r in suffixes)
-    if not 0 < k < n:
+    suffixes = written(sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("blocked").alias("k")), "url-suffixes")
+    n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()
+    if not n or not 0 < k < n:
         return Forest()
-    forest = Forest(base_rate=k / n)
-    forest.suffix_rates = {r.suffix: (r.k + 10 * k / n) / (r.n + 10) for r in suffixes}
-    rated = sample.withColumn("suffix_rate", forest.suffix_rate())
+    forest = Forest(base_rate=k / n, suffixes=suffixes)
+    rated = forest.rated(sample)
     steps = [i / BINS for i in range(1, BINS)]
     quantiles = rated.agg(*(F.percentile_approx(name, F.array(*(F.lit(x) for x in steps)), F.lit(1000)).alias(name) for name in FEATURES)).first()
     forest.edges = {name: sorted(set(quantiles[name])) for name in FEATURES}
@@ -193,9 +202,15 @@ def judge(pages: DataFrame, forest: Forest, rules: Sequence[Rule] = DEFAULT_RULE
     """pages and host, path, rule (its name, or null), verdict (the rule's, else the trees'), score (the trees' probability of block)."""
     added = [*FEATURES, "suffix"]
     source = pages.select(F.struct(*pages.columns).alias("_row"), F.col("url"))
-    seen = lexical_features(with_host_and_path(source)).withColumn("suffix_rate", forest.suffix_rate())
+    seen = forest.rated(lexical_features(with_host_and_path(source)))
     name, verdict = rule_columns(rules)
     scored = seen.withColumns({"_rule": name, "_verdict": verdict, "_margin": forest.score()}).drop(*added)
     kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
     by_trees = F.when(F.col("_margin") >= 0, "block").otherwise("allow")
     return scored.select(*kept, "host", "path", F.col("_rule").alias("rule"), F.coalesce("_verdict", by_trees).alias("verdict"), (1 / (1 + F.exp(-F.col("_margin")))).alias("score"))
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, bound: int = MAX_LABELLED) -> DataFrame:
+    """pages judged by the rules and by trees that are grown from what the rules say of them."""
+    with scratch(pages.sparkSession):
+        return written(judge(pages, train(pages, rules, bound), rules), "url-result", stays=True)

@@ -475,6 +475,33 @@ def test_url_rules(spark, sf):
     assert np.mean(right) > 0.7
 
 
+def test_url_scores_match_the_trees(spark):
+    """Scores against the trees walked in Python, and held-out URLs judged better than by the more frequent verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(3)) == 0
+    forest = url_filter.train(pages.filter(~held))
+    assert len(forest.trees) == url_filter.TREES
+    seen = forest.rated(url_filter.lexical_features(url_filter.with_host_and_path(pages.filter(held)))).collect()
+    rate = {r.suffix: (r.k + 10 * forest.base_rate) / (r.n + 10) for r in forest.suffixes.collect()}
+    rows = {r.page_id: r for r in url_filter.judge(pages.filter(held), forest).collect()}
+    for r in seen:
+        assert r.suffix_rate == pytest.approx(rate.get(r.suffix, forest.base_rate))
+        margin = forest.base + sum(leaves[sum((r[name] > forest.edges[name][b]) << bit for bit, (name, b) in enumerate(questions))] for questions, leaves in forest.trees)
+        assert rows[r.page_id].score == pytest.approx(1 / (1 + math.exp(-margin)))
+    ruled = [r for r in rows.values() if r.rule]
+    right, blocked = np.mean([(r.score >= 0.5) == (r.verdict == "block") for r in ruled]), np.mean([r.verdict == "block" for r in ruled])
+    assert len(ruled) > 200 and right > max(blocked, 1 - blocked) + 0.1, (right, blocked)
+
+
+def test_suffix_rates_of_all_suffixes(spark):
+    urls = [("http://a.com/en/x",), ("http://b.com/en/y",), ("http://c.org/es/z",), ("http://net/de/q",), ("http://d.fr/en",)]
+    pages = spark.createDataFrame(urls, "url string")
+    forest = url_filter.train(pages)
+    assert forest.base_rate == 0.75 and {r.suffix: (r.n, r.k) for r in forest.suffixes.collect()} == {"com": (2, 2), "org": (1, 1), "net": (1, 0)}
+    got = {r.suffix: r.suffix_rate for r in forest.rated(url_filter.lexical_features(url_filter.with_host_and_path(pages))).collect()}
+    assert got == pytest.approx({"com": 9.5 / 12, "org": 8.5 / 11, "net": 7.5 / 11, "fr": 0.75})
+
+
 def test_url_features(spark):
     r = url_filter.lexical_features(url_filter.with_host_and_path(spark.createDataFrame([("http://a-b.c.de/x/y1?p=1&q=2#z",)], "url string"))).first()
     assert (r.depth, r.parameters, r.labels, r.dashes, r.suffix, r.length) == (2, 2, 3, 1, "de", 30)
