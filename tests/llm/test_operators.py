@@ -63,6 +63,36 @@ def corpus(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+# Working tables.
+
+
+def test_off_local_masters_a_shared_folder_must_be_named():
+    from types import SimpleNamespace
+
+    from stillflow.llm.common import shared_dir
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
+
+
+def test_working_tables_go_with_their_result(spark, odd):
+    from pathlib import Path
+
+    from stillflow.llm.common import scratch, shared_dir
+
+    folder = Path(shared_dir(spark)) / "stillflow"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "vec_id long, embedding array<double>")
+    results = [mixing.mix(odd), packing.pack_documents(odd), lm_score.score(odd), near_dup.near_duplicates(odd), ann.search(vectors, F.col("vec_id") % 3 == 0), url_filter.filter_urls(spark.createDataFrame([("http://a.com/en/",), ("http://net/de/",)], "url string"))]
+    assert all(r.count() for r in results)
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"mix-result", "packing-result", "lm-result", "near-result", "ann-result", "url-result"}
+    with scratch(spark):
+        mixing.mix(odd)
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == left
+
+
 # Words.
 
 
@@ -192,6 +222,20 @@ def test_fingerprints_of_odd_texts(spark, odd, empty):
     assert len(again) == 4
 
 
+def test_fingerprints_of_an_id_that_many_rows_share(spark):
+    """A third of the rows without an id, a third of one id: they spread over ranges, and each row still meets its next."""
+    texts = [f"word{k} word{k + 1} word{k + 2}" for k in range(90)]
+    ids = [None] * 30 + [7] * 30 + list(range(8, 38))
+    docs = table(spark, texts, ids=ids).withColumn("h", F.xxhash64("text"))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in docs.collect()))
+    want = Counter()
+    for (_, i, _, t), (*_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id or 0, r.edited_sha256) for r in fingerprints.fingerprints(docs).collect()) == want
+    cuts = fingerprints._ranges(docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")), 9)
+    assert Counter(i for i, _ in cuts)[7] >= 2 and Counter(i for i, _ in cuts)[-(2**63)] >= 2
+
+
 # 3. Token counts.
 
 
