@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="stillflow")
     commands = top.add_subparsers(dest="command", required=True)
     p = commands.add_parser("doctor", help="what is there and what is missing; fails if something needed is")
-    p.add_argument("--factory", help="module:name of what makes a restoration model: is it there, and does it make one?")
+    p.add_argument("--factory", help="module:name of what makes a restoration model (by default what STILLFLOW_FACTORY says, in .env or the environment): does it make one?")
 
     def scanning(p):
         p.add_argument("--fps", type=float, default=25.0, help="frames a second of picture folders; videos have their own")
@@ -201,6 +201,10 @@ def sheet_report(made: dict, chosen: dict | None) -> list[str]:
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     a = parser().parse_args(argv)
+    if hasattr(a, "factory") and a.factory is None:
+        from stillflow.sources.documents import read_settings
+
+        a.factory = read_settings().get("STILLFLOW_FACTORY")
     if a.command == "doctor":
         return doctor(a.factory)
     from stillflow import pipeline

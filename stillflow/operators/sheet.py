@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,12 @@ def render_sheet(spark: SparkSession, cells: list[dict], size: tuple[int, int],
     setting = writer.getDefaultWriteParam()
     setting.setCompressionMode(io.ImageWriteParam.MODE_EXPLICIT)
     setting.setCompressionQuality(quality / 100)
-    stream = io.ImageIO.createImageOutputStream(jvm.java.io.File(path))
+    # The file appears whole: under a name that no listing takes first.
+    part = jvm.java.io.File(path + ".part")
+    part.delete()
+    stream = io.ImageIO.createImageOutputStream(part)
     writer.setOutput(stream)
     writer.write(None, io.IIOImage(image, None, None), setting)
     stream.close()
     writer.dispose()
+    os.replace(path + ".part", path)

@@ -338,7 +338,9 @@ def test_contact_sheet(spark, sequence, tmp_path):
     assert out[1]["first"] == "#01  f1  0.50s" and out[1]["second"] == "from 5 frames [1..5]   96x64"
     sheet.render_sheet(spark, out, (out[0]["sheet_w"], out[0]["sheet_h"]), str(tmp_path / "sheet.jpg"), "four")
     read = spark.read.format("image").load(str(tmp_path / "sheet.jpg")).select("image.width", "image.height").first()
-    assert tuple(read) == (3 * 420, 52 + 2 * (280 + 62))
+    assert tuple(read) == (3 * 420, 52 + 2 * (280 + 62)) and [p.name for p in tmp_path.iterdir()] == ["sheet.jpg"]
+    sheet.render_sheet(spark, out, (out[0]["sheet_w"], out[0]["sheet_h"]), str(tmp_path / "low.jpg"), "four", quality=20)
+    assert (tmp_path / "low.jpg").stat().st_size < (tmp_path / "sheet.jpg").stat().st_size
     with pytest.raises(ValueError):
         sheet.render_sheet(spark, [], (1, 1), "none.jpg")
 
@@ -369,6 +371,14 @@ def test_documents(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["manifest.json", "old.json", "scan.json"] and json.loads((tmp_path / "scan.json").read_text()) == scan
 
 
+def test_settings(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# a comment\nSTILLFLOW_FACTORY = 'mine:made'\n\nEMPTY=\nnothing\n  INDENTED=a=b\nOVER=file\n")
+    monkeypatch.setenv("OVER", "environment")
+    got = documents.read_settings(str(tmp_path / ".env"))
+    assert got["STILLFLOW_FACTORY"] == "mine:made" and got["INDENTED"] == "a=b" and got["OVER"] == "environment" and "EMPTY" not in got and "nothing" not in got
+    assert "STILLFLOW_FACTORY" not in documents.read_settings(str(tmp_path / "none"))
+
+
 def test_video_source(spark, tmp_path):
     assert video.frame_ranges(0, 450, 8) == [(0, 112), (112, 225), (225, 337), (337, 450)] and video.frame_ranges(0, 99, 8) == [(0, 99)]
     for name in ("A.MP4", "b.mkv", "note.txt"):
