@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillflow.llm.common import batches, running, scratch, widened, written
-from stillflow.llm.token_counts import Memory, is_plain, split_pieces, vocabulary_path
+from stillflow.llm.token_counts import Memory, Pieces, is_plain, vocabulary_path
 
 #: Pieces that the library is given as one text.
 TOGETHER = 500
@@ -65,20 +65,35 @@ class Encoder:
         plain = [p for p in new if is_plain(p)]
         known.learn(dict.fromkeys(new) | dict(zip(plain, (self._spaced_ids if spaced else self._ids)(plain), strict=True)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         self.first.age()
         self.later.age()
-        cut = [split_pieces(t) for t in texts]
-        self._learn(self.first, self.first.unknown({c[0] for c in cut}), False)
-        self._learn(self.later, self.later.unknown(set().union(*(c[1:] for c in cut))), True)
-        get, out, odd = self.later.__getitem__, [b""] * len(texts), []
-        for i, c in enumerate(cut):
-            try:
-                out[i] = self.first[c[0]] + b"".join(map(get, c[1:]))
-            except TypeError:
-                odd.append(i)
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        pieces = Pieces.of(texts)
+        opening = pieces.opening()
+        self._learn(self.first, self.first.unknown(set(opening)), False)
+        self._learn(self.later, self.later.unknown(set(pieces.distinct)), True)
+        known = list(map(self.later.__getitem__, pieces.distinct))
+        ids = np.frombuffer(b"".join(k or b"" for k in known), "<u4")
+        size = np.array([0 if k is None else len(k) // 4 for k in known], np.int64)
+        # Ids of all pieces but the opening ones, one after another.
+        later = np.ones(len(pieces.index), bool)
+        later[pieces.first[:-1]] = False
+        each = np.where(later, size[pieces.index], 0)
+        until = np.cumsum(each)
+        begin = (np.cumsum(size) - size)[pieces.index]
+        flat = ids[np.repeat(begin - (until - each), each) + np.arange(until[-1] if len(until) else 0)].tobytes()
+        at = 4 * np.concatenate([[0], until])[pieces.first]
+        # Texts with a piece whose neighbours matter go to the library whole.
+        unfit = np.array([k is None for k in known], bool)[pieces.index] & later
+        odd = np.add.reduceat(unfit, pieces.first[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+        out = []
+        for i, piece in enumerate(opening):
+            start = self.first[piece]
+            odd[i] |= start is None
+            out.append(b"" if odd[i] else start + flat[at[i] : at[i + 1]])
+        which = np.flatnonzero(odd)
+        for i, own in zip(which, self._ids(texts.take(pa.array(which)).to_pylist()), strict=True):
+            out[i] = own
         return out
 
 
@@ -101,7 +116,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: s
         encoder = _encoder(path)
         for batch in batches(rows, "text"):
             which, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())):
+            for i, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), ""))):
                 ids += end
                 n = len(ids) // 4
                 at, to = 0, n % capacity or min(n, capacity)

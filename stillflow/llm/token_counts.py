@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,7 @@ from stillflow.llm.common import batches, widened
 #: forgotten; longer ones are forgotten at once.
 REMEMBERED, LONGEST = 400_000, 64
 VOCABULARY = "byte_bpe_50k.json"
+UNKNOWN = -(1 << 40)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -106,9 +108,23 @@ class ArrayMerger:
         return out
 
 
-def split_pieces(text: str) -> list[str]:
-    """The text cut at its spaces: piece k > 0 stands for a space and the piece."""
-    return text.split(" ")
+@dataclass
+class Pieces:
+    """Texts cut at their spaces, each distinct piece once. index: of each piece among them; first: of each text's first piece, with the number of pieces at the end."""
+
+    distinct: list[str]
+    index: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Pieces:
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        return cls(coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy(), dtype=np.int64)]))
+
+    def opening(self) -> list[str]:
+        """Each text's first piece; all others stand for a space and the piece."""
+        return [self.distinct[i] for i in self.index[self.first[:-1]]]
 
 
 def is_plain(piece: str) -> bool:
@@ -171,20 +187,19 @@ class Counter:
         counts = m.survivors([t.encode() for t in seen])
         return (extra + np.bincount(owner, counts[flat], len(texts)).astype(np.int64)).tolist()
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: pa.Array) -> np.ndarray:
         self.first.age()
         self.later.age()
-        cut = [split_pieces(t) for t in texts]
-        self._learn(self.first, self.first.unknown({c[0] for c in cut}), "")
-        self._learn(self.later, self.later.unknown(set().union(*(c[1:] for c in cut))), " ")
-        get, out, odd = self.later.__getitem__, [0] * len(texts), []
-        for i, c in enumerate(cut):
-            try:
-                out[i] = self.first[c[0]] + sum(map(get, c[1:]))
-            except TypeError:
-                odd.append(i)
-        for i, n in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = n
+        pieces = Pieces.of(texts)
+        opening = pieces.opening()
+        self._learn(self.first, self.first.unknown(set(opening)), "")
+        self._learn(self.later, self.later.unknown(set(pieces.distinct)), " ")
+        # Pieces whose neighbours matter count so much below 0 that their texts do, too.
+        each = np.array([UNKNOWN if n is None else n for n in map(self.later.__getitem__, pieces.distinct)], np.int64)[pieces.index]
+        each[pieces.first[:-1]] = [UNKNOWN if n is None else n for n in map(self.first.__getitem__, opening)]
+        out = np.add.reduceat(each, pieces.first[:-1]) if len(texts) else np.zeros(0, np.int64)
+        odd = np.flatnonzero(out < 0)
+        out[odd] = self.whole(texts.take(pa.array(odd)).to_pylist())
         return out
 
 
@@ -204,7 +219,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
         for batch in batches(rows, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             sizes = pc.binary_length(texts).cast(pa.int64())
-            counts = pa.array(counter.count(texts.to_pylist()), pa.int64())
+            counts = pa.array(counter.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sizes, counts], [*kept, "n_bytes", "n_tokens"])
 
     schema = widened(source.drop("text").schema, n_bytes="long", n_tokens="long")

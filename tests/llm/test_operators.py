@@ -271,9 +271,10 @@ def test_pieces_join_to_the_whole(text):
         from stillflow.llm.token_counts import Counter as Tokens
 
         _library, _encoder, _counter = Tokenizer.from_file(vocabulary_path()), packing.Encoder(vocabulary_path()), Tokens(vocabulary_path())
-    ids = _library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(_encoder.encode([text])[0], "<u4").tolist() == ids
-    assert _counter.count([text]) == [len(ids)]
+    for texts in (pa.array([text]), pa.array(["a b", text, "", text + " ", text]), pa.array([text, "x  y"]).slice(0, 1)):
+        want = [_library.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+        assert [np.frombuffer(b, "<u4").tolist() for b in _encoder.encode(texts)] == want
+        assert _counter.count(texts).tolist() == list(map(len, want))
 
 
 def test_equal_pairs_merge_from_the_left():
