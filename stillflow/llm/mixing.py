@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def mix_sized(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
     """As mix(), for rows of doc_id, source and size."""
-    shuffled = sized.select("doc_id", "source", "size").withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), "size"))
+    shuffled = sized.select("doc_id", "source", "size").withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"), F.col("size").cast("string"))))
     queue = running(shuffled, [F.col("source").isNull().cast("int"), F.col("source"), F.col("_at"), F.col("doc_id"), F.col("size")], ["size"], "mix-queues")
     of_source = targets(queue.select("source", "size"), weights, share, most)
     joined = queue.join(of_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_at")

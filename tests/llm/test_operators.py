@@ -784,7 +784,7 @@ def test_mixing(request, kind):
 
 def brute_mix(docs, target):
     """taken of each doc_id: documents of each source in the order of their hash, word after word; virtual finish times sorted; the first words of that order that the budget holds."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size")).withColumn("at", F.xxhash64(F.lit(9), "doc_id", "size")).collect()
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size")).collect()
     size = Counter()
     for r in rows:
         size[r.source] += r["size"]
@@ -792,7 +792,7 @@ def brute_mix(docs, target):
     for s in size:
         if not target[s]:
             continue
-        queue = sorted((r.at, r.doc_id, r["size"]) for r in rows if r.source == s)
+        queue = sorted((hashlib.md5(f"9:{r.doc_id}:{r['size']}".encode()).hexdigest(), r.doc_id, r["size"]) for r in rows if r.source == s)
         sent = 0
         for _ in range(2):
             for k, (_, i, n) in enumerate(queue):
