@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 HIGHLIGHT = 230
 WORK_WIDTH = 256
