@@ -31,7 +31,7 @@ from stillflow.llm.common import batches, widened
 
 #: Pieces that a worker remembers, and their longest: when half as many are new, those not met since the last such time are
 #: forgotten; longer ones are forgotten at once.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 UNKNOWN = -(1 << 40)
 
