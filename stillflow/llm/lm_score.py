@@ -49,8 +49,8 @@ DISCOUNT, BY_CLASS = 0.75, 0.9
 #: Ranges of hashes for each shuffle partition, at least; distinct words of slices in a range, about.
 RANGES, RANGE_WORDS = 2, 500_000
 _SLICE = 4_000_000
-#: Distinct pairs that a task gathers before it sends them.
-_PAIRS = 6_000_000
+#: Pairs that a task takes at once, and distinct ones that it gathers before it sends them: about 60 bytes each.
+_PAIRS = 2_000_000
 #: Counts that are told apart where the least one must rise.
 _TOLD = 256
 
@@ -261,12 +261,18 @@ def _neighbours(n: int, offsets: np.ndarray, total: int, folds: int, fold: int):
 
     def rows_of(keys: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, time = _summed(keys, times)
-        one, two = np.divmod(key, total)
-        by_two = np.lexsort((one, two))
-        for side, word, near, t in ((0, one, two, time), (1, two[by_two], one[by_two], time[by_two])):
-            kept = (word >= n) | ((near < n) & (side == 0))
-            word, near, t = word[kept], near[kept], t[kept]
-            at = np.where(word < n, -1 - word, np.searchsorted(offsets, word, "right") - 1)
+        keys.clear()
+        times.clear()
+        time = time.astype(np.uint32)
+        one, two = ((key // total).astype(np.uint32), (key % total).astype(np.uint32))
+        del key
+        for side, word, near in ((0, one, two), (1, two, one)):
+            kept = np.flatnonzero((word >= n) | ((near < n) & (side == 0)))
+            if side:
+                kept = kept[np.argsort(word[kept], kind="stable")]  # of a word, its neighbours stay in order
+            word, near, t = word[kept], near[kept], time[kept]
+            at = np.searchsorted(offsets, word, "right") - 1
+            at[word < n] = -1 - word[word < n].astype(np.int64)
             cuts = np.flatnonzero(np.diff(at, prepend=-1 - total, append=-1 - total))
             out = [(int(at[a]), side, int(b - a), *(_planes(x[a:b]) for x in (word, near, t))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -276,18 +282,19 @@ def _neighbours(n: int, offsets: np.ndarray, total: int, folds: int, fold: int):
         keys, times = [], []
         for batch in rows:
             for k in range(batch.num_rows):
-                now = np.frombuffer(batch.column("symbols")[k].as_py(), "<i4").astype(np.int64)[np.frombuffer(batch.column("tokens")[k].as_py(), "<u4")]
-                before = np.concatenate([[STOP], now[:-1]])
+                symbols, tokens = np.frombuffer(batch.column("symbols")[k].as_py(), "<i4"), np.frombuffer(batch.column("tokens")[k].as_py(), "<u4")
                 train = np.repeat([is_training(d, folds, fold) for d in batch.column("docs")[k].as_py()], batch.column("lengths")[k].as_py())
-                key = (before * total + now)[train]
-                if not len(key):
-                    continue
-                key, time = _summed([key], [np.ones(len(key), np.int64)])
-                keys.append(key)
-                times.append(time)
-                if sum(map(len, keys)) > _PAIRS:
-                    yield from rows_of(keys, times)
-                    keys, times = [], []
+                for at in range(0, len(tokens), _PAIRS):
+                    now = symbols[tokens[max(0, at - 1) : at + _PAIRS]].astype(np.int64)
+                    now = now if at else np.concatenate([[STOP], now])
+                    key = (now[:-1] * total + now[1:])[train[at : at + _PAIRS]]
+                    if not len(key):
+                        continue
+                    key, time = _summed([key], [np.ones(len(key), np.int64)])
+                    if keys and sum(map(len, keys)) + len(key) > _PAIRS:
+                        yield from rows_of(keys, times)
+                    keys.append(key)
+                    times.append(time)
         if keys:
             yield from rows_of(keys, times)
 
@@ -321,19 +328,19 @@ def _totals(n: int, size: int, classes):
     """Rows 0 to n - 1: what follows each of the first n symbols, and what is before it, by class; then the class bigrams. Pairs of two of the first n are left out."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.frombuffer(classes.value, np.uint8).astype(np.int64)
+        of = np.frombuffer(classes.value, np.uint8)
         out = np.zeros((n + size, 2 * size), np.int64)
         for batch in rows:
             for k in range(batch.num_rows):
                 for side, (word, near, times) in enumerate(_sides(batch, k)):
-                    own, hot = of[word], near < n
+                    own, other, hot = of[word].astype(np.int64), of[near].astype(np.int64), near < n
                     by_hot = np.bincount(near[hot] * size + own[hot], times[hot], n * size).reshape(n, size).astype(np.int64)
                     if side == 0:
                         out[:n, size:] += by_hot
-                        out[n:, :size] += np.bincount(own * size + of[near], times, size * size).reshape(size, size).astype(np.int64)
+                        out[n:, :size] += np.bincount(own * size + other, times, size * size).reshape(size, size).astype(np.int64)
                     else:
                         out[:n, :size] += by_hot
-                        out[n:, :size] += np.bincount(of[near[hot]] * size + own[hot], times[hot], size * size).reshape(size, size).astype(np.int64)
+                        out[n:, :size] += np.bincount(other[hot] * size + own[hot], times[hot], size * size).reshape(size, size).astype(np.int64)
         full = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([out[i].astype("<i8").tobytes() for i in full], pa.binary())], ["row", "counts"])
 
@@ -376,7 +383,7 @@ def _moves(classes, between: np.ndarray, begins: np.ndarray, turn: int | None):
     """The classes of each range's words after the words whose turn it is (all, without one) have moved. A range has the symbols from begins to the next."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, size = np.frombuffer(classes.value, np.uint8).astype(np.int64), len(between)
+        of, size = np.frombuffer(classes.value, np.uint8), len(between)
         for batch in rows:
             for k in range(batch.num_rows):
                 number = batch.column("range")[k].as_py()
@@ -398,8 +405,8 @@ def _moves(classes, between: np.ndarray, begins: np.ndarray, turn: int | None):
                         moving &= np.arange(at, to) % 2 == turn
                     m = np.flatnonzero(moving)
                     if len(m):
-                        new[at - begin + m] = best_classes(new[at - begin + m], tables[0][m], tables[1][m], self_[m], between, FIXED)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([new.astype(np.uint8).tobytes()], pa.binary())], ["range", "classes"])
+                        new[at - begin + m] = best_classes(new[at - begin + m].astype(np.int64), tables[0][m], tables[1][m], self_[m], between, FIXED)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([new.tobytes()], pa.binary())], ["range", "classes"])
 
     return run
 
@@ -427,7 +434,7 @@ def _cluster(gathered: DataFrame, start: np.ndarray, begins: np.ndarray, n: int,
 
     of, best, turn, gained = start, None, None, np.inf
     while True:
-        sent = spark.sparkContext.broadcast(of.astype(np.uint8).tobytes())
+        sent = spark.sparkContext.broadcast(of.tobytes())
         around, between = measured(of, sent)
         if size == FIXED:  # no word starts a class
             sent.destroy()
@@ -446,7 +453,8 @@ def _cluster(gathered: DataFrame, start: np.ndarray, begins: np.ndarray, n: int,
         if turn is not None:
             best = (now, of, between)
         moved = of.copy()
-        for r in words.mapInArrow(_moves(sent, between, begins, turn), "range int, classes binary").toLocalIterator():
+        # A byte for each clustered word, from all ranges at once: a pass of one range after another would take as long as there are ranges.
+        for r in words.mapInArrow(_moves(sent, between, begins, turn), "range int, classes binary").collect():
             moved[begins[r["range"]] : begins[r["range"] + 1]] = np.frombuffer(r["classes"], np.uint8)
         sent.destroy()
         if turn is not None and n > FIXED:
@@ -455,7 +463,7 @@ def _cluster(gathered: DataFrame, start: np.ndarray, begins: np.ndarray, n: int,
             after, prior = around[mine, :size].copy(), around[mine, size:].copy()
             after[np.arange(len(mine)), of[mine]] -= self_
             prior[np.arange(len(mine)), of[mine]] -= self_
-            moved[mine] = best_classes(of[mine], after, prior, self_, between, FIXED)
+            moved[mine] = best_classes(of[mine].astype(np.int64), after, prior, self_, between, FIXED)
         of, turn = moved, 0 if turn is None else 1 - turn
 
 
@@ -487,13 +495,13 @@ def _score(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int,
         placed, total, vocabulary, begins, seeds = _place(docs, folds, fold, frequent, classes, least)
     # Symbols: the fixed ones, the most frequent words, then all clustered words by range.
     n, size, symbols = len(seeds), int(seeds.max()) + 1, int(begins[-1])
-    of = np.concatenate([seeds, np.full(symbols - n, RARE)])
+    of = np.concatenate([seeds.astype(np.uint8), np.full(symbols - n, RARE, np.uint8)])
     with scratch(docs.sparkSession):
         pairs = placed.select("docs", "lengths", "tokens", "symbols").mapInArrow(_neighbours(n, begins[:-1], symbols, folds, fold), _NEIGHBOURS)
         gathered = written(pairs.groupBy("range").applyInArrow(_gather(symbols), _GATHERED), "lm-neighbours")
         of, between = _cluster(gathered, of, begins, n, size)
     model = Model(between, total, vocabulary)
-    class_of = docs.sparkSession.sparkContext.broadcast(of.astype(np.uint8).tobytes())
+    class_of = docs.sparkSession.sparkContext.broadcast(of.tobytes())
 
     def scored(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes_of = np.frombuffer(class_of.value, np.uint8)

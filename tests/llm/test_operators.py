@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -698,6 +699,31 @@ def test_the_least_count_rises_until_words_fit():
     assert [lm_score._least_count(held, 2, most) for most in (100, 65, 64, 15, 3)] == [2, 2, 3, 4, 5]
 
 
+def test_pairs_of_symbols_take_bounded_memory():
+    """However many slices a task has, it holds about _PAIRS pairs; and no pair is lost or counted twice."""
+    rng = np.random.default_rng(6)
+    n, total, slices = 50, 1_000_000, 8
+    docs = [i for i in range(9) if lm_score.is_training(i)][:2]
+    offsets = np.arange(n, total, 50_000)
+
+    def batch():
+        symbols, tokens = rng.integers(0, total, 100_000).astype("<i4"), rng.integers(0, 100_000, 600_000).astype("<u4")
+        blobs = {"tokens": tokens.tobytes(), "symbols": symbols.tobytes()}
+        return pa.RecordBatch.from_pydict({"docs": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([[400_000, 200_000]], pa.list_(pa.int32()))} | {k: pa.array([b], pa.binary()) for k, b in blobs.items()})
+
+    rows, sides = [batch() for _ in range(slices)], np.zeros(2, np.int64)
+    tracemalloc.start()
+    for out in lm_score._neighbours(n, offsets, total, 7, 2)(rows):
+        for r in out.select(["side", "n", "times"]).to_pylist():
+            sides[r["side"]] += lm_score._numbers(r["times"], r["n"]).sum()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    both = np.concatenate([np.frombuffer(b.column("symbols")[0].as_py(), "<i4")[np.frombuffer(b.column("tokens")[0].as_py(), "<u4")] for b in rows])
+    before = np.concatenate([np.concatenate([[lm_score.STOP], x[:-1]]) for x in both.reshape(slices, -1)])
+    assert sides.tolist() == [((before >= n) | (both < n)).sum(), (both >= n).sum()]
+    assert most < 200e6
+
+
 def test_lm_score_of_no_rows(empty):
     assert lm_score.score(empty).count() == 0
 
