@@ -15,8 +15,9 @@ with their other word, so that no range holds the neighbours of a word that is e
 The corpus is kept as columns: a task holds a slice of texts as one sorted array of distinct word hashes and one array
 of places in it. Only the distinct hashes of a slice travel, dealt by ranges of hashes, as many as keep a range small; and
 only their counts come back. The driver sees the bigrams of the most frequent words and a few sums, whose sizes are fixed
-by parameters, and one byte for each clustered word, its class, which goes to the tasks. These are MOST at most: where
-more words are held LEAST times, the least count rises until they fit, and the rest count as rare.
+by parameters, and one byte for each clustered word, its class, which goes to the tasks. The least count is the same at
+every size of the input; only a caller who names a largest number of clustered words has it rise until they fit. Beyond
+2^31 clustered words, which their numbers cannot tell apart, the operator fails.
 
 Defined cases. A null or empty text is its end token alone. A very long text is one slice, whole. A null doc_id counts as
 the empty text in the fold. Repeated rows are separate texts. Of classes that raise the likelihood alike (ties) the first
@@ -41,8 +42,8 @@ from stillflow.llm.words import split_words
 FOLDS, HELD_OUT = 7, 2
 #: Words that start the classes, classes, sweeps of exchanges of these words.
 FREQUENT, CLASSES, SWEEPS = 500, 32, 6
-#: Times that training texts hold a word that is clustered, at least; clustered words, at most; nats a token that two passes of moves must gain.
-LEAST, MOST, GAIN = 2, 1 << 28, 1e-4
+#: Times that training texts hold a word that is clustered, at least; nats a token that two passes of moves must gain.
+LEAST, GAIN = 2, 1e-4
 #: Symbols and classes of their own: rare and unseen words, the end token.
 RARE, STOP, FIXED = 0, 1, 2
 DISCOUNT, BY_CLASS = 0.75, 0.9
@@ -484,15 +485,18 @@ class Model:
         return BY_CLASS * self.transition[before, classes] * share + (1 - BY_CLASS) * self.base(counts)
 
 
-def score(docs: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, frequent: int = FREQUENT, classes: int = CLASSES, least: int = LEAST) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+def score(docs: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, frequent: int = FREQUENT, classes: int = CLASSES, least: int = LEAST, most: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
+
+    most: of clustered words, where a caller wants fewer than all that are held least times.
+    """
     with scratch(docs.sparkSession):
-        return written(_score(docs, folds, fold, frequent, classes, least), "lm-result", stays=True)
+        return written(_score(docs, folds, fold, frequent, classes, least, most), "lm-result", stays=True)
 
 
-def _score(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int, least: int) -> DataFrame:
+def _score(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int, least: int, most: int | None) -> DataFrame:
     with scratch(docs.sparkSession):
-        placed, total, vocabulary, begins, seeds = _place(docs, folds, fold, frequent, classes, least)
+        placed, total, vocabulary, begins, seeds = _place(docs, folds, fold, frequent, classes, least, most)
     # Symbols: the fixed ones, the most frequent words, then all clustered words by range.
     n, size, symbols = len(seeds), int(seeds.max()) + 1, int(begins[-1])
     of = np.concatenate([seeds.astype(np.uint8), np.full(symbols - n, RARE, np.uint8)])
@@ -536,7 +540,7 @@ def _least_count(held: np.ndarray, least: int, most: int) -> int:
     return least
 
 
-def _place(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int, least: int) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
+def _place(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int, least: int, most: int | None) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
     """Texts as symbols (the fixed ones, the most frequent words, then all clustered words by range), numbers of training tokens
     and words, where the symbols of each range begin, and the classes of the fixed symbols and the most frequent words."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -555,7 +559,7 @@ def _place(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int,
         candidates.append((np.frombuffer(r["top"][: 8 * n], "<u8"), np.frombuffer(r["top"][8 * n :], "<i8")))
         if len(candidates) > 64:
             candidates = [_most(candidates, frequent)]
-    least = _least_count(held.sum(0), max(2, least), MOST)
+    least = max(2, least) if most is None else _least_count(held.sum(0), max(2, least), most)
     words, _ = _most(candidates, frequent)
     symbols, n = Symbols(words), FIXED + len(words)
     rows = slices.select("docs", "lengths", "words", "tokens").mapInArrow(_bigrams(symbols, n, folds, fold), "row int, counts binary").groupBy("row").applyInArrow(_add, "row int, counts binary")
@@ -565,6 +569,8 @@ def _place(docs: DataFrame, folds: int, fold: int, frequent: int, classes: int,
     seeds = exchange(bigrams, FIXED, classes, SWEEPS)
     clustered = held[:, least:].sum(1)
     begins = n + np.concatenate([[0], np.cumsum(clustered)])
+    if begins[-1] >= 1 << 31:
+        raise OverflowError(f"{begins[-1]} clustered words are more than their numbers can tell apart")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("range").to_numpy())

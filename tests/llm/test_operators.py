@@ -699,6 +699,17 @@ def test_the_least_count_rises_until_words_fit():
     assert [lm_score._least_count(held, 2, most) for most in (100, 65, 64, 15, 3)] == [2, 2, 3, 4, 5]
 
 
+def test_no_number_of_words_changes_what_is_clustered(spark, monkeypatch):
+    """Scores are those of all words held twice, however many these are; fewer are clustered only where a caller says so."""
+    rng = random.Random(8)
+    docs = table(spark, [" ".join(f"{'pq'[j % 2]}{rng.randrange(40)}" for j in range(50)) for _ in range(60)])
+    scores = lambda **kw: sorted(r.score for r in lm_score.score(docs, classes=2, frequent=10, **kw).collect())
+    want = scores()
+    monkeypatch.setattr(lm_score, "MOST", 20, raising=False)
+    assert scores() == want
+    assert scores(most=20) != want
+
+
 def test_pairs_of_symbols_take_bounded_memory():
     """However many slices a task has, it holds about _PAIRS pairs; and no pair is lost or counted twice."""
     rng = np.random.default_rng(6)
