@@ -99,7 +99,6 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     keyed = slim.withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_hash": F.xxhash64("text")})
     begins = _ranges(keyed.select("_id"), RANGES * parts)
     placed = keyed.withColumn("range", _range_of(F.struct("_id", "_hash"), begins))
-    order = [F.col("_id"), F.col("_hash"), F.col("text")]
     first_of = placed.groupBy("range").agg(F.min(F.struct("_id", "_hash", "text", "doc_id")).alias("first"))
     numbers = sorted(r["range"] for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect())
     if not numbers:
@@ -107,10 +106,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     else:
         pairs = dict(zip(numbers[1:] + numbers[:1], numbers, strict=True))
         before = F.element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), F.col("range"))
-    columns = ["doc_id", "text", "_id", "_hash"]
+    # Both uses of the rows below need all of these columns and no others: so the one shuffle of texts serves both.
+    columns = ["doc_id", "text", "_hash"]
     closing = first_of.select(*(f"first.{c}" for c in columns), before.alias("range"), F.lit(1).alias("closes"))
     rows = placed.select(*columns, "range", F.lit(0).alias("closes")).unionByName(closing).repartition(SPREAD * parts, "range")
-    in_range = Window.partitionBy("range").orderBy("closes", *order)
+    in_range = Window.partitionBy("range").orderBy("closes", F.coalesce("doc_id", F.lit(-(2**63))), "_hash", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     paired = rows.withColumns({"at": F.row_number().over(in_range), "next": F.lead("text").over(in_range)})

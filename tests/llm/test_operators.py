@@ -223,6 +223,13 @@ def test_fingerprints_of_odd_texts(spark, odd, empty):
     assert len(again) == 4
 
 
+def test_fingerprints_shuffle_texts_once(corpus):
+    out = fingerprints.fingerprints(corpus)
+    out.collect()
+    ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert sum("REPARTITION_BY_NUM" in line and "ReusedExchange" not in line for line in ran) == 1
+
+
 def test_fingerprints_of_an_id_that_many_rows_share(spark):
     """A third of the rows without an id, a third of one id: they spread over ranges, and each row still meets its next."""
     texts = [f"word{k} word{k + 1} word{k + 2}" for k in range(90)]
