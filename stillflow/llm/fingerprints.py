@@ -1,10 +1,13 @@
 r"""Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
-A text's terms are its words, A-Z lower-cased, with weight 1 + ln(count). For each of SAMPLES samples a term draws, from
-hashes of itself and the sample's number, r and c of the gamma distribution (shape 2) and b of the uniform one; with
-t = floor(ln(weight) / r + b), the term with the least ln(c) - r (t - b) - r is the sample. That least value is a
-function of the term and t, so it stands for the sample: two texts agree in it with the probability that is the
-generalised Jaccard similarity of their weights (sum of minima over sum of maxima).
+A text's terms are its words, A-Z lower-cased, with weight 1 + ln(count): each term is an element of weight 1 and, if it
+is repeated, another of weight ln(count). For each of SAMPLES samples an element gets a time that is exponential with its
+weight as rate, and the first is the sample. The order of the times of weight 1 is that of hashes of the term and the
+sample's number, so words that occur once, which most do, take a hash and a minimum. The other elements draw, from hashes
+of the term and the sample's number, r and c of the gamma distribution (shape 2) and b of the uniform one; with
+t = floor(ln(weight) / r + b), the logarithm of the time is ln(c) - r (t - b) - r. The least hash, or the least value (a
+function of the term and t), stands for the sample: two texts agree in it with the probability that is the generalised
+Jaccard similarity of their weights (sum of minima over sum of maxima), which the split leaves as it is.
 
 Neighbours by doc_id are found without a global window: rows are dealt to ranges of doc_id (and, of an id that fills more
 than one range, of a hash of the text), a copy of each range's first row closes the range before it, and one window over
@@ -40,7 +43,7 @@ def _uniform(bits: Column, at: int, width: int) -> Column:
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """The value of a term in sample k; the least one is the sample."""
+    """The logarithm of the time of a term with a weight of its own in sample k; the least one is the sample."""
     first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     r = -F.ln(_uniform(first, 0, _BITS) * _uniform(first, _BITS, _BITS))
     b = _uniform(first, 2 * _BITS, _BITS)
@@ -48,6 +51,16 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.ln(c) - r * (F.floor(log_weight / r + b) - b + 1.0)
 
 
+def unit_sample(term: Column, k: int) -> Column:
+    """What orders terms of weight 1 in sample k as their times do."""
+    return F.xxhash64(term, F.lit(-1 - k))
+
+
+def _log_time(least: Column) -> Column:
+    """The logarithm of the time that a value of unit_sample stands for, of 52 of its bits."""
+    return F.ln(-F.log1p(-(F.shiftrightunsigned(least.bitwiseXOR(F.lit(-(2**63))), 12) + 0.5) * 2.0**-52))
+
+
 def _ranges(rows: DataFrame, n: int) -> list[tuple[int, int]]:
     """Where about n ranges of equal numbers of rows begin, but for the first: an id, and a hash among the rows of that id."""
     if n < 2:
@@ -76,11 +89,15 @@ def _signature(words: DataFrame, keys: list[str], samples: int) -> DataFrame:
     terms = F.filter(F.split(F.translate("text", _UPPER, _LOWER), _WORD_SPLIT), lambda w: w != "")
     # A text without words has one row without a term.
     counted = words.select(*keys, F.explode_outer(terms).alias("word")).groupBy(*keys, F.xxhash64("word").alias("term"), F.col("word").isNull().alias("none")).agg(F.count("*").alias("n"))
-    weighed = counted.select(*keys, F.when(~F.col("none"), F.col("term")).alias("term"), F.ln(1.0 + F.ln(F.col("n").cast("double"))).alias("lw"))
-    least = weighed.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("lw"), k))).alias(f"s{k}") for k in range(samples)))
-    # 32 bits of a hash of each value.
-    bits = [F.lower(F.lpad(F.hex(F.xxhash64(f"s{k}").bitwiseAND(0xFFFFFFFF)), 8, "0")) for k in range(samples)]
-    return least.select(*keys, F.when(F.col("s0").isNotNull(), F.concat(*bits)).otherwise("").alias("fingerprint"))
+    term = F.when(~F.col("none"), F.col("term")).alias("term")
+    weighed = counted.select(*keys, term, F.when(F.col("n") > 1, F.ln(F.ln(F.col("n").cast("double")))).alias("lw"))
+    units = (F.min(F.when(F.col("term").isNotNull(), unit_sample(F.col("term"), k))).alias(f"u{k}") for k in range(samples))
+    others = (F.min(F.when(F.col("term").isNotNull() & F.col("lw").isNotNull(), sample(F.col("term"), F.col("lw"), k))).alias(f"s{k}") for k in range(samples))
+    least = weighed.groupBy(*keys).agg(*units, *others)
+    # 32 bits of a hash of what stands for each sample.
+    first = [F.when(F.col(f"s{k}") < _log_time(F.col(f"u{k}")), F.xxhash64(f"s{k}")).otherwise(F.xxhash64(f"u{k}")) for k in range(samples)]
+    bits = [F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0")) for x in first]
+    return least.select(*keys, F.when(F.col("u0").isNotNull(), F.concat(*bits)).otherwise("").alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:

@@ -223,6 +223,31 @@ def test_fingerprints_of_odd_texts(spark, odd, empty):
     assert len(again) == 4
 
 
+def test_fingerprints_of_words_that_occur_once_are_least_hashes(spark):
+    """Such words take part by a hash alone, whatever stands beside them; of a repeated word either element may be first."""
+    once, other = "alpha beta gamma delta", "sigma"
+    docs = table(spark, [once, " ".join([other] * 9), f"{once} " + " ".join([other] * 9)])
+    whole, repeated, both = ([r.fingerprint[8 * k : 8 * k + 8] for k in range(fingerprints.SAMPLES)] for r in fingerprints.fingerprints(docs).orderBy("doc_id").collect())
+    least = spark.createDataFrame([(w,) for w in once.split()], "w string").agg(*(F.min(fingerprints.unit_sample(F.xxhash64("w"), k)).alias(f"u{k}") for k in range(fingerprints.SAMPLES)))
+    want = least.select(*(F.lower(F.lpad(F.hex(F.xxhash64(f"u{k}").bitwiseAND(0xFFFFFFFF)), 8, "0")) for k in range(fingerprints.SAMPLES))).first()
+    assert whole == list(want)
+    assert all(b in (w, r) for w, r, b in zip(whole, repeated, both, strict=True))
+    alone = spark.createDataFrame([(other,)], "w string").select(*(F.lower(F.lpad(F.hex(F.xxhash64(fingerprints.unit_sample(F.xxhash64("w"), k)).bitwiseAND(0xFFFFFFFF)), 8, "0")) for k in range(fingerprints.SAMPLES))).first()
+    assert 0 < sum(r == a for r, a in zip(repeated, alone, strict=True)) < fingerprints.SAMPLES
+
+
+@pytest.mark.parametrize("weight", [math.log(2), math.log(9), 1.0])
+def test_times_are_exponential(spark, weight):
+    """Times of both kinds of elements have the rate that is their weight: mean and share above the mean."""
+    terms = spark.range(20000).select(F.xxhash64("id").alias("t"))
+    times = [terms.select(F.exp(fingerprints.sample(F.col("t"), F.lit(math.log(weight)), 3)).alias("x"))]
+    if weight == 1.0:
+        times.append(terms.select(F.exp(fingerprints._log_time(fingerprints.unit_sample(F.col("t"), 3))).alias("x")))
+    for frame in times:
+        x = np.array([r.x for r in frame.collect()])
+        assert abs(x.mean() * weight - 1) < 0.03 and abs((x > 1 / weight).mean() - math.exp(-1)) < 0.015
+
+
 def test_fingerprints_shuffle_texts_once(corpus):
     out = fingerprints.fingerprints(corpus)
     out.collect()
