@@ -15,9 +15,13 @@ takes which place is left open. Other columns are not read. An empty table gives
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import threading
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +35,8 @@ from stillflow.llm.token_counts import Memory, Pieces, is_plain, vocabulary_path
 
 #: Pieces that the library is given as one text.
 TOGETHER = 500
+#: Seconds that a worker keeps its encoder without a task that asks for it.
+IDLE = 3.0
 
 
 class Encoder:
@@ -104,6 +110,32 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+_ending: threading.Timer | None = None
+
+
+def _forget() -> None:
+    """Gives the encoder's memory, and what Arrow and the C library hold free, back to the machine."""
+    _encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextmanager
+def _held(path: str) -> Iterator[Encoder]:
+    """The worker's encoder. Workers outlive the stage, so the encoder goes when no task of it has followed for IDLE seconds."""
+    global _ending
+    if _ending:
+        _ending.cancel()
+    try:
+        yield _encoder(path)
+    finally:
+        _ending = threading.Timer(IDLE, _forget)
+        _ending.daemon = True
+        _ending.start()
+
+
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32-bit, if kept) of each row's tokens and end_id.
 
@@ -113,25 +145,25 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: s
     end = np.array([end_id], "<u4").tobytes()
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for batch in batches(rows, "text"):
-            which, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), ""))):
-                ids += end
-                n = len(ids) // 4
-                at, to = 0, n % capacity or min(n, capacity)
-                while at < n:
-                    part = ids[4 * at : 4 * to]
-                    which.append(i)
-                    piece.append((at + capacity - 1) // capacity)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        kept.append(part)
-                    at, to = to, to + capacity
-            columns = [batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if keep_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+        with _held(path) as encoder:
+            for batch in batches(rows, "text"):
+                which, piece, start, length, crc, kept = [], [], [], [], [], []
+                for i, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), ""))):
+                    ids += end
+                    n = len(ids) // 4
+                    at, to = 0, n % capacity or min(n, capacity)
+                    while at < n:
+                        part = ids[4 * at : 4 * to]
+                        which.append(i)
+                        piece.append((at + capacity - 1) // capacity)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            kept.append(part)
+                        at, to = to, to + capacity
+                columns = [batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if keep_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)

@@ -151,6 +151,22 @@ def test_packing_of_odd_texts(odd, empty, library):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_encoders_go_when_no_task_follows(monkeypatch):
+    """A worker keeps what it knows from task to task, but not beyond the stage."""
+    monkeypatch.setattr(packing, "IDLE", 0.5)
+    with packing._held(vocabulary_path()) as first:
+        first.encode(pa.array(["one two three"]))
+        time.sleep(1)
+        assert packing._encoder.cache_info().currsize == 1
+    with packing._held(vocabulary_path()) as second:
+        assert second is first
+    for _ in range(100):
+        if packing._encoder.cache_info().currsize == 0:
+            break
+        time.sleep(0.1)
+    assert packing._encoder.cache_info().currsize == 0
+
+
 def test_packing_of_repeated_rows(spark, library):
     texts = [(None, "a b c"), (None, "a b c"), (5, "x"), (5, "x"), (5, "y")]
     check_packing(packing.pack_documents(table(spark, [t for _, t in texts], ids=[i for i, _ in texts])).collect(), texts, library)
